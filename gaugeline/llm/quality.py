@@ -79,12 +79,12 @@ def _data(text: str | None) -> bytes:
 
 
 def sparse(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets and their shares."""
+    """Distinct buckets and their shares, as small as they travel to the driver (up to 16 bits a bucket)."""
     got = [x for p in _pieces(_data(text)) for x in hashed(p, bits)]
     if not got:
-        return np.zeros(0, np.uint32), np.zeros(0, np.float32)
+        return np.zeros(0, np.uint16), np.zeros(0, np.float16)
     ids, n = np.unique(np.concatenate(got), return_counts=True)
-    return ids, (n / n.sum()).astype(np.float32)
+    return ids.astype(np.uint16), (n / n.max()).astype(np.float16)
 
 
 def train(ids: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray, *, bits: int, dim: int = 8, epochs: int = 12, lr: float = 6.0, batch: int = 16, seed: int = 5) -> tuple[np.ndarray, float]:
@@ -102,7 +102,8 @@ def train(ids: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray, *, bit
             rate = lr * (1 - done / steps)
             done += 1
             n = np.array([len(ids[i]) for i in at])
-            flat, share = np.concatenate([ids[i] for i in at]), np.concatenate([shares[i] for i in at])
+            flat = np.concatenate([ids[i] for i in at])
+            share = np.concatenate([shares[i].astype(np.float32) / max(float(shares[i].sum(dtype=np.float64)), 1e-9) for i in at])
             row = np.repeat(np.arange(len(at)), n)
             hidden = np.zeros((len(at), dim), np.float32)
             vec = emb[flat]
@@ -138,7 +139,7 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", bits: int = 17, max_train: int = 6000) -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", bits: int = 16, max_train: int = 3000) -> QualityModel:
     """Learn from at most ``max_train`` labelled rows outside fold 0, chosen by hash of the id."""
     chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(id_col) != 0)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_train)
@@ -150,8 +151,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality
             yield pd.DataFrame({"_id": b["_id"], "_y": b["_y"], "ids": [g[0].tobytes() for g in got], "shares": [g[1].tobytes() for g in got]})
 
     got = rows.mapInPandas(featurise, "_id long, _y int, ids binary, shares binary").toPandas().sort_values(["_id", "_y", "ids"])
-    ids = [np.frombuffer(x, np.uint32) for x in got["ids"]]
-    shares = [np.frombuffer(x, np.float32) for x in got["shares"]]
+    ids = [np.frombuffer(x, np.uint16) for x in got["ids"]]
+    shares = [np.frombuffer(x, np.float16) for x in got["shares"]]
     table, bias = train(ids, shares, got["_y"].to_numpy(), bits=bits)
     return QualityModel(table, bias, bits)
 
