@@ -20,7 +20,8 @@ def ratio(a: str | Column, b: str | Column) -> Column:
 
 
 def clip(x: str | Column, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(col(x), F.lit(lo)), F.lit(hi))
+    """Held in [lo, hi]; NULL stays NULL (greatest and least alone would skip it)."""
+    return F.when(col(x).isNotNull(), F.least(F.greatest(col(x), F.lit(lo)), F.lit(hi)))
 
 
 def wilson(k: str | Column, n: str | Column, z: float = Z95) -> tuple[Column, Column]:

@@ -33,14 +33,21 @@ def query(sql: str | None = None):
 WILSON = """case when n = 0 then null else round(least(greatest(((k::double / n) + 3.8416 / (2 * n)) / (1 + 3.8416 / n)
   {s} sqrt((k::double / n) * (1 - k::double / n) / n + 3.8416 / (4.0 * n * n)) * 1.96 / (1 + 3.8416 / n), 0.0), 1.0), 6) end"""
 LO, HI = WILSON.format(s="-"), WILSON.format(s="+")
-FAIL = F.col("o_orderstatus") == "F"
-RETURNED = F.col("l_returnflag") == "R"
+
+
+def failed():
+    return F.col("o_orderstatus") == "F"
+
+
+def returned():
+    return F.col("l_returnflag") == "R"
+
 
 
 # ---- rates
 @query(f"with g as (select o_orderpriority as category, count(*) as n, sum((o_orderstatus = 'F')::int)::bigint as k from orders group by 1) select category, n, k, round(k::double / n, 6) as rate, {LO} as lo, {HI} as hi from g")
 def weak_region_rates(t):
-    return rates.rate_block(t("orders").withColumnRenamed("o_orderpriority", "category"), ["category"], FAIL).orderBy("rate", "category")
+    return rates.rate_block(t("orders").withColumnRenamed("o_orderpriority", "category"), ["category"], failed()).orderBy("rate", "category")
 
 
 @query("""select case when grouping(status) = 0 then 'status' when grouping(priority) = 0 then 'priority' when grouping(year) = 0 then 'year' else 'overall' end as dimension,
@@ -57,7 +64,7 @@ b as (select 'brand' as dimension, brand as bucket, count(*) as n, sum(y)::bigin
 
 @query(BUCKETS + " select dimension, bucket, n, k, round(k::double / n, 6) as rate from b where n >= 100 order by rate, dimension, bucket limit 3")
 def pooled_weakest_buckets(t):
-    r = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), RETURNED.alias("y"))
+    r = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), returned().alias("y"))
     return rates.weakest(rates.summary(r, ["brand", "kind"], "y"), 100, 3)
 
 
@@ -82,19 +89,19 @@ def stage_case_funnel(t):
 
 @query("select p_brand, n, round((8.0 * mu + s) / (8.0 + n), 6) as encoded from (select p_brand, count(*) as n, sum((l_returnflag = 'R')::int)::double as s from lineitem join part on l_partkey = p_partkey group by 1), (select avg((l_returnflag = 'R')::int) as mu from lineitem where l_partkey in (select p_partkey from part))")
 def target_encoding(t):
-    return rates.shrunken_rate(t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")), "p_brand", RETURNED, 8.0)
+    return rates.shrunken_rate(t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")), "p_brand", returned(), 8.0)
 
 
 @query("with g as (select l_suppkey, count(*) as n, avg((l_returnflag = 'R')::int) as r from lineitem group by 1) select l_suppkey, n, round(r * n / (n + 20.0), 6) as shrunk from g")
 def eb_shrink(t):
-    g = t("lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.avg(RETURNED.cast("int")).alias("r"))
+    g = t("lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.avg(returned().cast("int")).alias("r"))
     return g.select("l_suppkey", "n", F.round(F.col("r") * F.col("n") / (F.col("n") + 20.0), 6).alias("shrunk"))
 
 
 @query("""with g as (select p_brand, count(*) as n, sum((l_returnflag = 'R')::int)::bigint as f from lineitem join part on l_partkey = p_partkey group by 1)
 select p_brand, n, f as fails, round(f::double / n, 6) as p_fail, round(f::double / sum(f) over (), 6) as fail_share, round(n::double / sum(n) over (), 6) as base_share, round(sum(least(f::double / sf, n::double / sn)) over (), 6) as overlap from g, (select sum(f) as sf, sum(n) as sn from g)""")
 def failure_profile_overlap(t):
-    p = rates.failure_profile(t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")), "p_brand", RETURNED)
+    p = rates.failure_profile(t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")), "p_brand", returned())
     p = p.withColumn("overlap", F.sum(F.least("fail_share", "base_share")).over(Window.partitionBy()))
     return p.select("p_brand", "n", "fails", *[F.round(c, 6).alias(c) for c in ("p_fail", "fail_share", "base_share", "overlap")])
 
@@ -124,7 +131,7 @@ def incidence(t):
 avg(case when o_totalprice <= 200000 and o_orderpriority = '1-URGENT' then (o_orderstatus = 'F')::int end) - avg(case when o_totalprice <= 200000 and o_orderpriority = '5-LOW' then (o_orderstatus = 'F')::int end) as dother from orders)
 select round(share, 6) as share, round(dt, 6) as d_target, round(dother, 6) as d_other, round(share * dt + (1 - share) * dother, 6) as total from g""")
 def gain_decomposition(t):
-    big, y = F.col("o_totalprice") > 200000, FAIL.cast("int")
+    big, y = F.col("o_totalprice") > 200000, failed().cast("int")
     d = lambda m: F.avg(F.when(m & (F.col("o_orderpriority") == "1-URGENT"), y)) - F.avg(F.when(m & (F.col("o_orderpriority") == "5-LOW"), y))
     g = t("orders").agg(F.avg(big.cast("int")).alias("share"), d(big).alias("d_target"), d(~big).alias("d_other"))
     return g.withColumn("total", F.col("share") * F.col("d_target") + (1 - F.col("share")) * F.col("d_other")).select(*[F.round(c, 6).alias(c) for c in ("share", "d_target", "d_other", "total")])
@@ -344,7 +351,7 @@ def multiset_equal(t):
 @query("with x(brand, ref) as (values ('Brand#1', 0.2), ('Brand#2', 0.3), ('Brand#3', 0.25), ('Brand#4', 0.4), ('Brand#99', 0.1)), r as (select p_brand, avg((l_returnflag = 'R')::int) as r from lineitem join part on l_partkey = p_partkey group by 1) select count(r.r) as n, round(corr(r.r, x.ref::double), 6) as r from x left join r on r.p_brand = x.brand")
 def external_table_corr(t):
     x = t("part").sparkSession.createDataFrame([("Brand#1", 0.2), ("Brand#2", 0.3), ("Brand#3", 0.25), ("Brand#4", 0.4), ("Brand#99", 0.1)], "brand string, ref double")
-    r = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(F.avg(RETURNED.cast("int")).alias("r"))
+    r = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(F.avg(returned().cast("int")).alias("r"))
     return x.join(r, x.brand == r.p_brand, "left").agg(F.count("r").alias("n"), F.round(F.corr("r", "ref"), 6).alias("r"))
 
 
@@ -423,7 +430,7 @@ select round(cut, 4) as cut, sum((o_totalprice <= cut)::int)::bigint as n_low, r
 def threshold_scan(t):
     o = t("orders")
     e = o.agg(F.percentile("o_totalprice", F.array(*[F.lit(i / 10) for i in range(1, 10)])).alias("e")).select(F.explode("e").alias("cut"))
-    low, y = F.col("o_totalprice") <= F.col("cut"), FAIL.cast("int")
+    low, y = F.col("o_totalprice") <= F.col("cut"), failed().cast("int")
     return o.crossJoin(F.broadcast(e)).groupBy("cut").agg(F.sum(low.cast("int")).alias("n_low"), F.round(F.avg(F.when(low, y)) - F.avg(F.when(~low, y)), 6).alias("gap")).withColumn("cut", F.round("cut", 4))
 
 
@@ -442,7 +449,7 @@ def ordering_test(t):
 
 @query("with d as (select o_orderpriority, round(avg((o_orderstatus = 'F')::int) - 1.0 / 3, 6) as regret, count(*) as n, round(stddev_samp((o_orderstatus = 'F')::int) / sqrt(count(*)), 6) as se from orders group by 1) select *, (regret - 1.96 * se > 0) as beats from d")
 def cell_summary(t):
-    y = FAIL.cast("int")
+    y = failed().cast("int")
     d = t("orders").groupBy("o_orderpriority").agg(F.round(F.avg(y) - 1.0 / 3, 6).alias("regret"), F.count(F.lit(1)).alias("n"), F.round(F.stddev_samp(y) / F.sqrt(F.count(F.lit(1))), 6).alias("se"))
     return d.withColumn("beats", F.col("regret") - 1.96 * F.col("se") > 0)
 
@@ -537,7 +544,7 @@ SCORES = "s as (select p_brand, count(*) as n, round(avg((l_returnflag = 'R')::i
 
 def _scores(t):
     r = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-    return r.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(RETURNED.cast("int")), 6).alias("score"))
+    return r.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(returned().cast("int")), 6).alias("score"))
 
 
 @query(f"with {SCORES} select p_brand, round(1000.0 * score / sum(score) over (), 6) as alloc from s")

@@ -6,8 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PULLS = T.StructType.fromDDL("pull_id string, arm string, round_j int, slot string, B int, demo_ids array<bigint>, dataset_path string, per_repeat_means array<double>, overall_mean double, delta double, per_stratum_means_json string, status string, note string, started_at string, finished_at string")
-EPISODES = T.StructType.fromDDL("episode_id string, phase string, arm string, pull_id string, policy_id string, start_id string, repeat_idx int, success boolean, failure_stage string, ee_min_dist double, max_lift double, min_sink_dist double, steps int, wall_time_s double, category string, h double, w double, x_rel double, y_rel double, side int, yaw double, layout_id int, style_id int")
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+
+def _schema(ddl: str) -> T.StructType:
+    """A schema from "name type, ..." without a session."""
+    kind = lambda k: T.ArrayType(_KINDS[k[6:-1]]) if k.startswith("array<") else _KINDS[k]
+    return T.StructType([T.StructField(n, kind(k)) for n, k in (x.split() for x in ddl.split(", "))])
+
+
+PULLS = _schema("pull_id string, arm string, round_j int, slot string, B int, demo_ids array<bigint>, dataset_path string, per_repeat_means array<double>, overall_mean double, delta double, per_stratum_means_json string, status string, note string, started_at string, finished_at string")
+EPISODES = _schema("episode_id string, phase string, arm string, pull_id string, policy_id string, start_id string, repeat_idx int, success boolean, failure_stage string, ee_min_dist double, max_lift double, min_sink_dist double, steps int, wall_time_s double, category string, h double, w double, x_rel double, y_rel double, side int, yaw double, layout_id int, style_id int")
 
 
 def path_part(pattern: str, group: int = 1) -> Column:
@@ -22,7 +31,7 @@ def read_episode_files(spark: SparkSession, path: str, pattern: str = r"episode_
 
 def read_csv_coerced(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Strings cast to the schema; whatever doesn't parse, and NaN, is NULL."""
-    kinds = T.StructType.fromDDL(schema)
+    kinds = _schema(schema)
     raw = spark.read.csv(path, header=True)
     nan = lambda c: F.when(~F.isnan(c), c)
     casts = [F.col(f.name).try_cast(f.dataType) for f in kinds]
