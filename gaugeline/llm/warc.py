@@ -58,10 +58,9 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", body_col
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "_digest")), line("X-Payload-Length", F.col("_size").cast("string")),
         line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("_size").cast("string"))), F.lit("\r\n"),
     )
-    total = pages.agg(F.sum(F.octet_length(body_col) + 500)).first()[0] or 0
-    files = max(1, -(-total // file_bytes))
-    rows = rows.select(F.concat(head, block).alias("value")).repartition(int(files))
-    rows.write.option("lineSep", END).option("compression", "gzip").text(path)
+    total, n = pages.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(body_col), F.lit(0)) + 500), F.lit(0)), F.count(F.lit(1))).first()
+    most = max(1, int(file_bytes * max(n, 1) / max(total, 1)))  # records of the mean size that fill a file
+    rows.select(F.concat(head, block).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def _inflate(data: bytes) -> bytes:
