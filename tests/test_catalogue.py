@@ -3,7 +3,7 @@
 import pandas as pd
 import pytest
 
-from gaugeline.plans import catalogue
+from gaugeline.plans import catalogue, inference  # noqa: F401  (registers its queries)
 from tests.conftest import SMALL
 
 
