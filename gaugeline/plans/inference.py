@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions import exprs as E
 from gaugeline.operators import inference as I
+from gaugeline.operators import learners as L
 from gaugeline.operators import models, windows
 from gaugeline.plans.catalogue import query, returned
 
@@ -244,3 +245,29 @@ def paired_arm_delta(t):
     of = lambda s: F.avg(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice")))
     m = o.groupBy("c_mktsegment", "c_nationkey").agg(of("F").alias("a"), of("O").alias("b")).dropna()  # one shuffle in place of two and a join
     return m.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(F.col("a") - F.col("b")), 4).alias("delta"), F.sum((F.col("a") > F.col("b")).cast("int")).alias("better"))
+
+
+# ---- learners: sequential or iterative, so without SQL; the tests hold them against brute force
+@query()
+def ucb_race(t):
+    return _race(t, "ucb1")
+
+
+@query()
+def exp3_race(t):
+    return _race(t, "exp3")
+
+
+def _race(t, rule):
+    arms = _line_part(t).groupBy("p_brand").agg(F.avg(returned().cast("int")).alias("rate"))
+    return L.race(arms, "p_brand", "rate", 8, 300, rule)
+
+
+@query()
+def determinantal(t):
+    return L.determinantal(t("embeddings"), "vec_id", "embedding", 12).withColumn("gain", F.round("gain", 6))
+
+
+@query()
+def mutual_information(t):
+    return L.mutual_information(t("lineitem").withColumn("k", F.concat_ws("#", "l_orderkey", "l_linenumber", "l_partkey")), "k", "l_quantity", "l_extendedprice")
