@@ -87,7 +87,7 @@ def sparse(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.uint16), (n / n.max()).astype(np.float16)
 
 
-def train(ids: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray, *, bits: int, dim: int = 8, epochs: int = 12, lr: float = 6.0, batch: int = 16, seed: int = 5) -> tuple[np.ndarray, float]:
+def train(ids: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray, *, bits: int, dim: int = 8, epochs: int = 12, least_steps: int = 400, lr: float = 6.0, batch: int = 16, seed: int = 5) -> tuple[np.ndarray, float]:
     """SGD; returns for each bucket its logit difference (class 1 less class 0), and the bias."""
     rng = np.random.default_rng(seed)
     y = np.asarray(y, int)
@@ -96,9 +96,11 @@ def train(ids: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray, *, bit
         return np.zeros(1 << bits, np.float32), float(np.log(prior / (1 - prior)))
     emb = rng.uniform(-1, 1, (1 << bits, dim)).astype(np.float32) / dim
     out, bias = rng.normal(0, 0.5, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
-    steps, done = epochs * -(-len(y) // batch), 0
+    rounds = -(-len(y) // batch)
+    epochs = max(epochs, -(-least_steps // rounds))  # few rows are seen more often
+    steps, done = epochs * rounds, 0
     for _ in range(epochs):
-        for at in np.array_split(rng.permutation(len(y)), -(-len(y) // batch)):
+        for at in np.array_split(rng.permutation(len(y)), rounds):
             rate = lr * (1 - done / steps)
             done += 1
             n = np.array([len(ids[i]) for i in at])
