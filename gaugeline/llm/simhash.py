@@ -122,10 +122,11 @@ def links(distinct: DataFrame, *, max_bits: int = 2, pair_limit: int = 12) -> tu
     large = shared.where(F.col("n") > pair_limit).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64) * (i == 63)).cast("long") for i in range(64)])
     balls = large.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("point"))
-    if max_bits < 2:
-        balls = balls.where(F.col("point") == F.col("fp")) if max_bits == 0 else balls
-    heads = balls.groupBy("point").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("point", "v")
-    stars = balls.join(heads, "point").where(F.col("fp") > F.col("v")).select(F.col("fp").alias("u"), "v").where(near)
+    if max_bits == 2:
+        heads = balls.groupBy("point").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("point", "v")
+        stars = balls.join(heads, "point").where(F.col("fp") > F.col("v")).select(F.col("fp").alias("u"), "v").where(near)
+    else:  # a fingerprint within one bit is itself a point: at most 64 links each
+        stars = balls.select(F.col("fp").alias("u"), "point").join(large.select(F.col("fp").alias("v")), F.col("point") == F.col("v")).where((F.col("u") > F.col("v")) & near).select("u", "v")
     return pairs.union(stars).distinct(), paths
 
 

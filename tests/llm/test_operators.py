@@ -316,3 +316,20 @@ def test_word_rules():
     words, n = lm.split_words(pa.array([" A\tb\x0bC ", None, "", "É x"]))
     assert words.to_pylist() == ["a", "b", "c", "É", "x"] and n.tolist() == [3, 0, 0, 2]
     assert re.findall(mixing.WORD, "a\x1cb c") == ["a\x1cb", "c"]
+
+
+@pytest.mark.parametrize("bits", [0, 1, 2])
+def test_simhash_large_buckets(spark, bits):
+    """Buckets over the limit give the components of all pairs, for each number of differing bits."""
+    rng = np.random.default_rng(bits)
+    fps = sorted({int(x) for x in rng.choice(1 << 9, 90, replace=False)})
+    edges, _ = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), max_bits=bits, pair_limit=2)
+    roots, _ = simhash.components(edges)
+    got = {r["node"]: r["root"] for r in roots.collect()}
+    want = {f: f for f in fps}
+    for _ in fps:
+        for a in fps:
+            for b in fps:
+                if bin(a ^ b).count("1") <= bits:
+                    want[a] = want[b] = min(want[a], want[b])
+    assert {f: got.get(f, f) for f in fps} == want
