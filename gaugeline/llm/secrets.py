@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long runs of key characters with a digit, private-key blocks and values after a password
-word. Features of a candidate: its length and share of digits, letter-case and class transitions, distinct
+Candidates are long runs of key characters with a digit, those of letters alone after a secret word and an
+assignment, private-key blocks up to their END line and values after a password word in any letter case. Features of a candidate: its length and share of digits, letter-case and class transitions, distinct
 characters, coverage by dictionary words, path context, and neighbouring words. The forest is trained
 (MLlib, in the JVM) on labelled findings, exported as nested CASE expressions and applied to each
 candidate inside its row: the scan is one narrow pass with no shuffle, join or Python.
@@ -20,15 +20,19 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,80}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
-PEM = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]{0,8000}-----END [A-Z ]{0,20}PRIVATE KEY-----"
-PASSWORD = r"(?<=(?:password|passwd|pwd|Password)[\"' ]{0,2}[:=][\"' ]{0,2})[^\s\"']{6,}"
-CANDIDATE = f"{PEM}|{PASSWORD}|{RUN}"
+RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+#: Loops are possessive: no length limit, and neither stack nor going back over a text.
+LABEL = r"[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+PEM = f"-----BEGIN {LABEL}[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END {LABEL}"
+#: The short looks ahead and back come first, as they fail soon at most places.
+PASSWORD = r"(?<=[:=>\"' ])(?=[^\s\"']{6})(?<=(?i:password|passwd|pwd)[\"' ]{0,2}(?::=|=>|[:=])[\"' ]{0,2})[^\s\"']{6,}"
+ASSIGNED = r"(?<=[:=>\"'`\s])(?=[A-Za-z0-9+/_-]{16})(?<=(?i:secret|token|api[ _-]?key|auth|credential|access[ _-]?key|private[ _-]?key)[A-Za-z0-9_-]{0,12}[\"'`]?\s{0,2}(?::=|=>|[:=])\s{0,2}[\"'`]?|(?i:bearer)\s)[A-Za-z0-9+/_-]{16,}={0,2}"
+CANDIDATE = f"{PEM}|{PASSWORD}|{ASSIGNED}|{RUN}"
 #: Words that make a candidate look like prose, a path or a placeholder.
 DICTIONARY = ["the", "and", "ing", "tion", "example", "test", "user", "name", "data", "file", "home", "page", "index", "image", "version", "release", "build", "docs", "your", "here", "key", "static", "assets", "content", "article", "sample", "dummy", "changeme", "placeholder", "xxxx", "abcd", "1234"]
 SECRET_WORDS = r"(?i)(token|secret|passw|pwd|api.?key|apikey|auth|credential|bearer|access.?key|private)"
 PUBLIC_WORDS = r"(?i)(commit|sha1|sha256|md5|checksum|digest|hash|uuid|guid|isbn|order|invoice|phone|card|account|iban|integrity|etag|revision)"
-FEATURES = ["length", "digits", "transitions", "distinct", "coverage", "path", "secret_near", "public_near", "assigned", "hex", "only_digits"]
+FEATURES = ["length", "digits", "transitions", "distinct", "coverage", "path", "secret_near", "public_near", "assigned", "hex", "only_digits", "block"]
 MASK = "[SECRET]"
 
 
@@ -50,6 +54,7 @@ def features(cand: Column, before: Column, after: Column) -> dict[str, Column]:
         "assigned": flag(before.rlike(r"[:=]\s*[\"'`]?$")),
         "hex": flag(cand.rlike(r"^[0-9a-fA-F]+$")),
         "only_digits": flag(cand.rlike(r"^[0-9+/_-]+$")),
+        "block": flag(cand.startswith("-----BEGIN ")),
     }
 
 
@@ -75,6 +80,19 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         (f"concat('en/', id, '/', substring({a}, 1, 10), '/page')", "concat('see https://www.site.org/')", 0), (f"substring({a}, 1, 64)", f"concat({prose}, {publics})", 0),
         ("concat('xxxxxxxxxxxxxxxxxxxx1234', id % 10)", f"concat({keys}, {sign})", 0), ("concat('your_api_key_goes_here_', id % 10)", f"concat({keys}, {sign})", 0),
     ]
+    letters = f"substring(translate({mixed}, '0123456789+/', 'kQzBvXwTnLpR'), 1, 18 + id % 14)"
+    body = f"regexp_replace(repeat(concat(base64(unhex({a})), '\n', base64(unhex({b})), '\n'), cast(4 + id % 30 as int)), '=', 'Q')"
+    made_up = some(["hunter", "correct", "Winter", "letmein", "dragon", "s3cr3t"], 3, 1)
+    names = some(["DB_PASSWORD=", "Password: ", "PASSWD=", "\"password\": \"", "pwd="], 5, 2)
+    plain = some(["required", "forgotten", "must have eight", "incorrect", "protected", "optional"], 7, 1)
+    lower = some(["internationalization", "authentication-service", "configuration_manager", "representative-of-the-house", "responsibilities"], 3, 2)
+    kinds += [
+        (letters, f"concat({prose}, {keys}, {sign})", 1), (f"concat('-----BEGIN PRIVATE KEY-----\n', {body}, '-----END PRIVATE KEY-----')", prose, 1),
+        (f"concat('-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,', upper(substring({b}, 1, 32)), '\n\n', {body}, '-----END RSA PRIVATE KEY-----')", f"concat({prose}, {keys}, {sign})", 1),
+        (f"concat({made_up}, substring({a}, 1, 1 + id % 4), pmod(id * 31, 97), element_at(array('!', '#', '', 'secret!'), cast(1 + id % 4 as int)))", f"concat('x ', {names})", 1),
+        (plain, f"concat({prose}, {names})", 0), (lower, f"concat({prose}, {keys}, {sign})", 0),
+        (f"concat('/', repeat(concat('archive-', id % 90, '/docs/'), cast(3 + id % 12 as int)), substring({a}, 1, 8))", prose, 0),
+    ]
     each = max(1, n // len(kinds))
     made = [spark.range(i * each, (i + 1) * each, 1, 1).select(F.expr(c).alias("candidate"), F.expr(p).alias("before"), F.lit(" and so ").alias("after"), F.lit(float(y)).alias("label")) for i, (c, p, y) in enumerate(kinds)]
     return reduce(DataFrame.unionByName, made)
