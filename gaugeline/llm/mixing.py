@@ -3,10 +3,10 @@
 Everything here is DataFrame and SQL functions. Sources get targets by weight, none above
 ``max_epochs`` times its own size. Each source is dealt by a seeded hash into shards, and each shard's
 token stream is cut into blocks of about ``block_tokens``. Blocks are apportioned twice by highest
-quotients: to sources by target, then to a source's shards by their blocks. A shard takes its quota
+quotients: to sources by target (in blocks of the source's own mean size), then to a source's shards by their blocks. A shard takes its quota
 as whole passes plus blocks chosen by a seeded bijection of block numbers.
 
-Scale: shards a source are 1.5 * sqrt(rows), so both the rows of a shard and the shards of a source
+Scale: shards a source are 1.5 * sqrt(rows), or fewer where a source has not SHARD_BLOCKS blocks for each, so both the rows of a shard and the shards of a source
 grow with the root of the input and a source with a third of all rows is spread over many tasks. One
 shuffle carries rows (the join with the quotas and the prefix sums use the same partitioning).
 
@@ -26,6 +26,8 @@ from gaugeline.llm.common import cut
 
 #: A prime above any shard's number of blocks: i * PRIME + c is a bijection modulo that number.
 PRIME = 2654435761
+#: A shard holds about so many blocks at least, so that blocks of thin sources are as large as others.
+SHARD_BLOCKS = 8
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -96,11 +98,17 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), max_ep
     })
     rows = rows.withColumn("_shard", F.pmod(F.xxhash64(F.col("_hash"), F.lit(1)), F.lit(shards)).cast("int"))
     cell = ["_null", "_src", "_shard"]
-    sums, _ = cut(rows.groupBy(*cell).agg(F.sum("size").alias("_tokens")), "mix-shards")
-    sums = sums.withColumn("_n", F.when(F.col("_tokens") > 0, F.greatest(F.lit(1), F.round(F.col("_tokens") / block_tokens))).otherwise(0).cast("long"))
+    fine, _ = cut(rows.groupBy(*cell).agg(F.sum("size").alias("_tokens")), "mix-shards")
+    own = fine.groupBy("_null", "_src").agg(F.sum("_tokens").alias("source_size"))
+    own, _ = cut(own.withColumn("_own", F.least(F.lit(shards), F.greatest(F.lit(1), F.expr(f"source_size div {SHARD_BLOCKS * block_tokens}")))), "mix-sources")
+    coarse = F.expr(f"cast(_shard * _own div {shards} as int)")
+    sums = fine.join(F.broadcast(own.drop("source_size")), ["_null", "_src"]).withColumn("_shard", coarse).groupBy(*cell).agg(F.sum("_tokens").alias("_tokens"))
+    rows = rows.join(F.broadcast(own.drop("source_size")), ["_null", "_src"]).withColumn("_shard", coarse).drop("_own")
+    sums, _ = cut(sums.withColumn("_n", F.when(F.col("_tokens") > 0, F.greatest(F.lit(1), F.round(F.col("_tokens") / block_tokens))).otherwise(0).cast("long")), "mix-cells")
     totals = sums.groupBy("_null", "_src").agg(F.sum("_tokens").alias("source_size"), F.sum("_n").alias("_blocks"))
-    goals = source_targets(totals, weights, max_epochs).withColumn("_all", F.sum("_blocks").over(Window.partitionBy()))
-    goals = sainte_lague(goals, "target", "_all", ["_pos"], [], "_seats").withColumn("_seats", F.least("_seats", max_epochs * F.col("_blocks")))
+    goals = source_targets(totals, weights, max_epochs).withColumn("_goal", F.expr("if(source_size > 0, target * _blocks / source_size, 0D)"))
+    goals = goals.withColumn("_all", F.round(F.sum("_goal").over(Window.partitionBy())).cast("long"))
+    goals = sainte_lague(goals, "_goal", "_all", ["_pos"], [], "_seats").withColumn("_seats", F.least("_seats", max_epochs * F.col("_blocks")))
     goals, _ = cut(goals.select("_null", "_src", "source_size", "target", "_seats"), "mix-goals")
     quotas = sainte_lague(sums.join(goals, ["_null", "_src"]), "_n", "_seats", ["_shard"], ["_null", "_src"], "_quota")
     quotas = quotas.withColumn("_quota", F.least("_quota", max_epochs * F.col("_n")))
