@@ -334,14 +334,14 @@ def small_scorer(texts, classes=5, least=2):
 
 
 def brute_next(scorer, kept, ids, starts_word):
-    """p of each id (and STOP as the end token) after ``ids``, by the formula, for one place; starts_word: of each id before."""
+    """(2, ids) p of each id within the word, and of each that starts a word or ends the text, after ``ids``, by the formula; starts_word: of each id before."""
     starts, symbols, grams, spans = kept
     share = np.array([starts[i] + 0.05 for i in range(lm.PIECES + 1)])
     share /= share.sum()
     word = []
     for i, s in zip(ids, starts_word):
         word = [i] if s else [*word, i]
-    prior = share.copy()
+    prior = np.stack([0 * share, share])
     if ids:
         p = np.array([symbols[i] + 0.05 for i in range(lm.PIECES + 1)])
         p /= p.sum()
@@ -350,8 +350,8 @@ def brute_next(scorer, kept, ids, starts_word):
             if c in spans:
                 own = np.array([max(grams.get((c, y), 0) - lm.DISCOUNT, 0) for y in range(lm.PIECES + 1)]) / spans[c]
                 p = own + (1 - own.sum()) * p
-        prior = p[lm.STOP] * share
-        prior[: lm.PIECES] += p[: lm.PIECES]
+        prior = np.stack([p, p[lm.STOP] * share])
+        prior[0, lm.STOP] = 0
     w = {k: x.astype(float) for k, x in scorer.model.w.items()}
     inputs = [lm.BOS, *ids]
     at = len(inputs) - 1
@@ -361,7 +361,7 @@ def brute_next(scorer, kept, ids, starts_word):
     a = np.exp(s) / np.exp(s).sum()
     weights = (x[-1] + (a @ (x @ w["V"])) @ w["O"]) @ w["C"] + w["B"]
     raw = prior * np.exp(weights)[scorer.spelling.classes]
-    return raw / raw.sum(), prior / prior.sum()
+    return raw / raw.sum(), prior
 
 
 def test_lm_score_is_the_formula_and_sums_to_one():
@@ -381,8 +381,7 @@ def test_lm_score_is_the_formula_and_sums_to_one():
         for k, i in enumerate(ids):
             p, prior = brute_next(scorer, kept, ids[:k], first[:k])
             assert p.sum() == pytest.approx(1) and prior.sum() == pytest.approx(1)
-            # a start of a word and the same id within one are one event only where the id's bytes say so: none here
-            total += math.log10(p[i])
+            total += math.log10(p[int(first[k]), i])
         n, known, base, score, rare, many = scorer.score(pa.array([t], pa.string()))
         assert score[0] == pytest.approx(total, abs=2e-3) and n[0] == len(words) + 1
 
