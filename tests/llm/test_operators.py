@@ -252,9 +252,10 @@ def test_secrets(spark, odd):
     assert secrets.redact_secrets(odd, forest).count() == len(ODD)
 
 
-def test_neighbours_recall_and_ties(spark):
-    got = neighbours.op9_neighbours(spark, SMALL).toPandas()
-    e = spark.read.parquet(f"{SMALL}/embeddings.parquet").toPandas().sort_values("vec_id")
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_neighbours_recall(spark, sf):
+    got = neighbours.op9_neighbours(spark, f"/root/testdata/{sf}").toPandas()
+    e = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").toPandas().sort_values("vec_id")
     x, ids, hit = np.stack(e["embedding"]).astype(float), e["vec_id"].to_numpy(), 0
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     asked = np.flatnonzero(ids % 50 == 0)
@@ -265,10 +266,27 @@ def test_neighbours_recall_and_ties(spark):
         hit += len(set(mine["vec_id"]) & set(ids[np.lexsort((ids, -s))[:5]]))
         assert mine["score"].to_numpy() == pytest.approx(s[np.searchsorted(ids, mine["vec_id"])])
     assert hit / len(asked) / 5 >= 0.9
-    nan = float("nan")
-    rows = [(0, [1.0, 0.0]), (3, [2.0, 0.0]), (2, [4.0, 0.0]), (2, [4.0, 0.0]), (4, [0.0, 1.0]), (5, [0.0, 0.0]), (6, None), (7, [nan, 1.0]), (8, [1.0, None]), (None, [1.0, 0.0]), (9, [1.0])]
-    small = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
-    assert [(r["vec_id"], r["score"]) for r in small] == [(2, 1.0), (3, 1.0), (4, 0.0)]
+
+
+def test_neighbours_do_not_depend_on_partitions_or_blocks(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    ask = lambda df, **o: sorted(map(tuple, neighbours.search(df, F.col("vec_id") % 50 == 0, sample=700, **o).collect()))
+    want = ask(e.coalesce(1))
+    assert len(want) == 5 * e.where("vec_id % 50 = 0").count()
+    assert ask(e.repartition(3)) == want == ask(e.repartition(8)) == ask(e, block=300, query_block=9)
+
+
+def test_neighbours_ties_and_odd_vectors(spark):
+    nan, find = float("nan"), lambda rows, q, kind="long": [(r["vec_id"], r["score"]) for r in neighbours.search(spark.createDataFrame(rows, f"vec_id {kind}, embedding array<double>, score string, rank int, q string"), q).orderBy("query_id", "rank").collect()]
+    make = lambda rows: [(i, v, "clash", 7, "clash") for i, v in rows]
+    rows = make([(0, [1.0, 0.0]), (3, [2.0, 0.0]), (2, [4.0, 0.0]), (2, [4.0, 0.0]), (4, [0.0, 1.0]), (5, [0.0, 0.0]), (6, None), (7, [nan, 1.0]), (8, [1.0, None]), (None, [1.0, 0.0]), (9, [1.0]), (10, [])])
+    assert find(rows, F.col("vec_id") == 0) == [(2, 1.0), (3, 1.0), (4, 0.0)]
+    assert find(rows, F.col("vec_id") == 9) == []
+    assert find(make([("b", [1.0, 0.0]), ("a", [3.0, 0.0]), ("q", [2.0, 0.0])]), F.col("vec_id") == "q", "string") == [("a", 1.0), ("b", 1.0)]
+    assert find(make([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.0, 5.0])]), F.col("vec_id") == 0) == [(1, 1.0)]
+    wide = make([(0, [1e200, 1.0]), (1, [1e200, 1e200]), (2, [1e-200, 0.0]), (3, [5e-324, 0.0]), (4, [1.0, 0.0])])
+    got = dict(find(wide, F.col("vec_id") == 0))
+    assert got == pytest.approx({1: math.sqrt(0.5), 2: 1.0, 3: 1.0, 4: 1.0})
     assert neighbours.search(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).count() == 0
 
 
