@@ -10,7 +10,9 @@ however many items there are. Documents are scanned where they lie: no shuffle.
 
 Defined cases: null, empty and wordless texts have no words and no hits; wordless items never occur; repeated items
 count one by one by id; null item ids match but aren't listed; very long texts are streamed whole; an empty
-benchmark hits nothing. ``scan`` adds ``n_words, n_hit, items, spans``; ``decontaminate`` rewrites the text.
+benchmark hits nothing. ``scan`` adds ``n_words, n_hit, items, spans``, which replace input columns; ``decontaminate`` rewrites the text
+and keeps all other columns, whatever their names; repeated documents are scanned one by one; a text exactly at
+``max_coverage`` stays.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.llm.common import Hidden
+
 SPLIT = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 
 
@@ -145,8 +149,8 @@ def _blocks(benchmark: DataFrame, width: int, block_words: int, id_col: str, tex
 _BUILT: dict = {}
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, block_words: int = 1_000_000, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns with n_words, n_hit, items (ids, sorted as strings) and spans (byte offsets [from, to) in UTF-8, merged)."""
+def _finder(docs: DataFrame, benchmark: DataFrame, width: int, block_words: int, id_col: str, text_col: str):
+    """A UDF from a text to (n_words, n_hit, items, spans)."""
     blocks = [(i, held, ids) for i, (held, ids) in enumerate(_blocks(benchmark, width, block_words, id_col, text_col))]
     stamp = f"{docs.sparkSession.sparkContext.applicationId}-{id(blocks)}-{np.random.default_rng().integers(1 << 60)}"
 
@@ -188,9 +192,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, block_words:
                 rows.append((n, int(hit.sum()), sorted(f["ids"]), _bytes(p, hit)))
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
 
-    udf = F.pandas_udf(run, "n_words long, n_hit long, items array<string>, spans array<array<int>>").asNondeterministic()
-    kept = docs.drop("n_words", "n_hit", "items", "spans")
-    return kept.withColumn("_f", udf(F.col(text_col).cast("string"))).select(*[F.col(f"`{c}`") for c in kept.columns], "_f.n_words", "_f.n_hit", "_f.items", "_f.spans")
+    return F.pandas_udf(run, "n_words long, n_hit long, items array<string>, spans array<array<int>>").asNondeterministic()
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, block_words: int = 1_000_000, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns with n_words, n_hit, items (ids, sorted as strings) and spans (byte offsets [from, to) in UTF-8, merged)."""
+    own = Hidden(docs)
+    rows = own.df.withColumn("f", _finder(docs, benchmark, width, block_words, id_col, "text" if "text" in benchmark.columns else text_col)(F.col(own[text_col]).cast("string")))
+    return own.show(rows, **{n: F.col(f"f.{n}") for n in ("n_words", "n_hit", "items", "spans")})
 
 
 def _bytes(plain: bytes, hit: np.ndarray) -> list[list[int]]:
@@ -204,15 +213,18 @@ def _bytes(plain: bytes, hit: np.ndarray) -> list[list[int]]:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, max_coverage: float = 0.5, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """Hit spans leave the text; a document with more than ``max_coverage`` of its words hit goes as a whole."""
-    rows = scan(docs, benchmark, width=width, text_col=text_col).where(F.col("n_hit") <= max_coverage * F.col("n_words"))
-    raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
+    own = Hidden(docs)
+    found = _finder(docs, benchmark, width, 1_000_000, "item_id", "text")(F.col(own[text_col]).cast("string"))
+    rows = own.df.withColumn("f", found).select("*", "f.n_words", "f.n_hit", "f.spans").where(F.col("n_hit") <= max_coverage * F.col("n_words"))
+    text = F.col(own[text_col])
+    raw = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
     starts = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s[1]))
-    ends = F.concat(F.transform("spans", lambda s: s[0]), F.array(F.octet_length(F.col(text_col))))
+    ends = F.concat(F.transform("spans", lambda s: s[0]), F.array(F.octet_length(text)))
     pieces = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.decode(F.substring(raw, x["a"] + 1, x["b"] - x["a"]), "UTF-8"))
-    out = rows.withColumn("_new", F.when(F.size("spans") > 0, F.array_join(pieces, " ")).otherwise(F.col(text_col)))
+    out, put = rows.withColumn("new", F.when(F.size("spans") > 0, F.array_join(pieces, " ")).otherwise(text)), {text_col: F.col("new")}
     if length_col:
-        out = out.withColumn(length_col, F.when(F.size("spans") > 0, F.length("_new").cast("long")).otherwise(F.col(length_col)))
-    return out.withColumn(text_col, F.col("_new")).drop("_new", "n_words", "n_hit", "items", "spans")
+        put[length_col] = F.when(F.size("spans") > 0, F.length("new").cast("long")).otherwise(F.col(own[length_col]))
+    return own.show(out, put=put)
 
 
 def op6_decontaminate(spark, sf_dir):

@@ -9,7 +9,8 @@ Training takes at most about ``max_train`` documents (by hash; a documented boun
 Spark. Profiles are a few hundred rows a language. Defined cases: a null text or one without letters is
 ``und`` with score 0; equal distances go to the smaller language name; null languages aren't learned; with
 nothing to learn from, all is ``und``; very long texts are counted in pieces of 1 M characters and summed;
-an empty table gives an empty result. ``lang_pred`` and ``score`` replace input columns.
+an empty table gives an empty result. ``lang_pred`` and ``score`` replace input columns;
+other names don't matter.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import fold
+from gaugeline.llm.common import Hidden, fold
 
 PIECE = 1_000_000
 _LETTERS: list[np.ndarray] = []
@@ -113,7 +114,8 @@ def identify_language(docs: DataFrame, profiles: Profiles, *, text_col: str = "t
             yield pd.DataFrame([held.value.predict(t) for t in b], columns=["lang_pred", "score"])
 
     udf = F.pandas_udf(run, "lang_pred string, score double").asNondeterministic()
-    return docs.drop("lang_pred", "score").withColumn("_p", udf(F.col(text_col).cast("string"))).select("*", "_p.lang_pred", "_p.score").drop("_p")
+    own = Hidden(docs)
+    return own.show(own.df.withColumn("p", udf(F.col(own[text_col]).cast("string"))), lang_pred=F.col("p.lang_pred"), score=F.col("p.score"))
 
 
 def op4_language(spark, sf_dir):

@@ -12,7 +12,7 @@ shuffle carries rows (the join with the quotas and the prefix sums use the same
 
 Defined cases: null text has size 0; a null source is a source of its own, ordered last; documents of
 size 0 take 0; repeated rows are rows of their own; an empty table gives an empty result. Columns
-``size, source_size, target, taken`` replace input columns of those names; all others are kept.
+``size, source_size, target, taken`` replace input columns of those names; all others are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import cut
+from gaugeline.llm.common import Hidden, cut
 
 #: A prime above any shard's number of blocks: i * PRIME + c is a bijection modulo that number.
 PRIME = 2654435761
@@ -90,11 +90,13 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...], max_epochs: int)
 def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, block_tokens: int = 32, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """All rows and columns of ``docs`` with size, source_size, target and taken (tokens the mix takes)."""
     shards = max(1, math.ceil(1.5 * math.sqrt(docs.count())))
-    rows = docs.drop("size", "source_size", "target", "taken").withColumns({
+    own_names = Hidden(docs)
+    id_col, text_col, source_col = own_names[id_col], own_names[text_col], own_names[source_col]
+    rows = own_names.df.withColumns({
         "size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"),
         "_null": F.col(source_col).isNull(),
         "_src": F.coalesce(F.col(source_col).cast("string"), F.lit("")),
-        "_hash": F.xxhash64(F.lit(seed), F.col(id_col)),
+        "_hash": F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)),  # with the text, so that null ids spread too
     })
     rows = rows.withColumn("_shard", F.pmod(F.xxhash64(F.col("_hash"), F.lit(1)), F.lit(shards)).cast("int"))
     cell = ["_null", "_src", "_shard"]
@@ -123,7 +125,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), max_ep
         pmod(i * {PRIME}L + _c, _n) < _rest,
         least(_a + size, ((i + 1) * _tokens + _n - 1) div _n) - greatest(_a, (i * _tokens + _n - 1) div _n), 0L))"""
     taken = F.expr(f"if(size = 0, 0L, size * (_quota div _n) + if(_rest = 0, 0L, {chosen}))")
-    return mixed.select(*[c for c in rows.columns if c not in ("size", "_hash", *cell)], "size", "source_size", "target", taken.alias("taken"))
+    return own_names.show(mixed, size=F.col("size"), source_size=F.col("source_size"), target=F.col("target"), taken=taken)
 
 
 def op1_mix_sources(spark, sf_dir):

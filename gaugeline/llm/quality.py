@@ -8,7 +8,9 @@ amount); scoring multiplies vectors and output weights once, so a feature costs
 
 Defined cases: null and empty texts have no feature and get the bias alone; with no labelled row the score
 is 0.5, with labels of one class the smoothed prior; null labels don't count; repeated rows count as often
-as they occur; an empty table gives an empty result. ``score`` and ``predicted`` replace input columns.
+as they occur; an empty table gives an empty result; a score equal to the
+threshold counts as good; ids may be of any type. At least ``least_steps`` descent steps are made, so that few labelled rows
+are seen more often. ``score`` and ``predicted`` replace input columns of ``score_quality``; other names don't matter.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import fold
+from gaugeline.llm.common import Hidden, fold
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(1099511628211)
@@ -145,22 +147,22 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality
     """Learn from at most ``max_train`` labelled rows outside fold 0, chosen by hash of the id."""
     chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(id_col) != 0)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_train)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "_id")
+    kind = chosen.schema["_id"].dataType.simpleString()
+    rows = docs.select(F.col(id_col).cast(kind).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "_id")
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [sparse(t, bits) for t in b["_t"]]
             yield pd.DataFrame({"_id": b["_id"], "_y": b["_y"], "ids": [g[0].tobytes() for g in got], "shares": [g[1].tobytes() for g in got]})
 
-    got = rows.mapInPandas(featurise, "_id long, _y int, ids binary, shares binary").toPandas().sort_values(["_id", "_y", "ids"])
+    got = rows.mapInPandas(featurise, f"_id {kind}, _y int, ids binary, shares binary").toPandas().sort_values(["_id", "_y", "ids"])
     ids = [np.frombuffer(x, np.uint16) for x in got["ids"]]
     shares = [np.frombuffer(x, np.float16) for x in got["shares"]]
     table, bias = train(ids, shares, got["_y"].to_numpy(), bits=bits)
     return QualityModel(table, bias, bits)
 
 
-def score_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """All rows and columns with ``score`` and ``predicted``."""
+def _scorer(docs: DataFrame, model: QualityModel):
     held = docs.sparkSession.sparkContext.broadcast((model.table, model.bias, model.bits))  # 2**bits floats: a fixed size
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -168,8 +170,20 @@ def score_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text
         for b in batches:
             yield pd.Series(m.score(b.tolist()))
 
-    udf = F.pandas_udf(run, "double").asNondeterministic()
-    return docs.drop("score", "predicted").withColumn("score", udf(F.col(text_col).cast("string"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return F.pandas_udf(run, "double").asNondeterministic()
+
+
+def score_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """All rows and columns with ``score`` and ``predicted``."""
+    own = Hidden(docs)
+    rows = own.df.withColumn("s", _scorer(docs, model)(F.col(own[text_col]).cast("string")))
+    return own.show(rows, score=F.col("s"), predicted=(F.col("s") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: QualityModel, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` with a score of ``threshold`` or more, all columns as they are."""
+    own = Hidden(docs)
+    return own.show(own.df.withColumn("s", _scorer(docs, model)(F.col(own[text_col]).cast("string"))).where(F.col("s") >= threshold))
 
 
 def op3_quality(spark, sf_dir):

@@ -8,7 +8,8 @@ candidate inside its row: the scan is one narrow pass with no shuffle, join or P
 
 Defined cases: null and empty texts have no candidates; repeated candidates are findings of their own,
 in order; very long texts are scanned whole; an empty table gives an empty result. ``scan_secrets`` adds
-column ``findings`` and ``redact_secrets`` rewrites the text; other columns are kept.
+column ``findings`` (replacing one of that name) and ``redact_secrets`` rewrites the text; other columns are kept, whatever
+their names; a score equal to the threshold counts as a secret.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeline.llm.common import Hidden
+
 RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
 #: Loops are possessive: no length limit, and neither stack nor going back over a text.
 LABEL = r"[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
@@ -121,10 +124,10 @@ class SecretForest:
         return reduce(lambda a, b: a + b, votes) / float(len(votes))
 
 
-def scan_secrets(docs: DataFrame, forest: SecretForest, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """All columns with ``findings``: array of (start, candidate, score, is_secret); start counts characters from 1."""
+def _scanned(docs: DataFrame, forest: SecretForest, text_col: str, threshold: float) -> DataFrame:
+    """``_found`` and ``_parts`` (the candidates, and what stands around them) and ``findings``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.drop("findings").withColumn("_found", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
+    rows = docs.withColumn("_found", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
     rows = rows.withColumn("_parts", F.when(F.size("_found") > 0, F.split(text, CANDIDATE)).otherwise(F.array().cast("array<string>")))
 
     def one(c, i):
@@ -137,17 +140,26 @@ def scan_secrets(docs: DataFrame, forest: SecretForest, *, text_col: str = "text
     judged = F.transform("_made", lambda m: F.struct(m["start"].alias("start"), m["candidate"].alias("candidate"), forest.score(m["f"]).alias("score")))
     rows = rows.withColumn("_judged", judged)
     final = F.transform("_judged", lambda m: F.struct(m["start"].alias("start"), m["candidate"].alias("candidate"), m["score"].alias("score"), (m["score"] >= threshold).alias("is_secret")))
-    return rows.withColumn("findings", final).drop("_made", "_judged")
+    return rows.withColumn("findings", final)
+
+
+def scan_secrets(docs: DataFrame, forest: SecretForest, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """All columns with ``findings``: array of (start, candidate, score, is_secret); start counts characters from 1."""
+    own = Hidden(docs)
+    return own.show(_scanned(own.df, forest, own[text_col], threshold), findings=F.col("findings"))
 
 
 def redact_secrets(docs: DataFrame, forest: SecretForest, *, text_col: str = "text", threshold: float = 0.5, length_col: str | None = None) -> DataFrame:
     """The same rows with each secret replaced by ``[SECRET]``; rejected candidates stay. length_col is set to the new length where given."""
-    rows = scan_secrets(docs, forest, text_col=text_col, threshold=threshold)
+    own = Hidden(docs)
+    text = F.col(own[text_col])
+    rows = _scanned(own.df, forest, own[text_col], threshold)
     kept = F.transform("_parts", lambda p, i: F.concat(p, F.when(i < F.size("findings"), F.when(F.get("findings", i)["is_secret"], F.lit(MASK)).otherwise(F.get("findings", i)["candidate"])).otherwise("")))
-    rows = rows.withColumn(text_col, F.when(F.exists("findings", lambda x: x["is_secret"]), F.array_join(kept, "")).otherwise(F.col(text_col)))
+    rows = rows.withColumn("new", F.when(F.exists("findings", lambda x: x["is_secret"]), F.array_join(kept, "")).otherwise(text))
+    put = {text_col: F.col("new")}
     if length_col:
-        rows = rows.withColumn(length_col, F.when(F.exists("findings", lambda x: x["is_secret"]), F.length(text_col).cast("long")).otherwise(F.col(length_col)))
-    return rows.drop("_found", "_parts", "findings")
+        put[length_col] = F.when(F.exists("findings", lambda x: x["is_secret"]), F.length("new").cast("long")).otherwise(F.col(own[length_col]))
+    return own.show(rows, put=put)
 
 
 def op8_scan_secrets(spark, sf_dir):

@@ -14,7 +14,7 @@ Components come from alternating large-star and small-star rounds, cut in the sh
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; fewer words than a shingle make
 one shingle; repeated rows and ids are copies; null ids never are a component's id unless it has no other; an empty
-table gives an empty result. ``fingerprint`` and ``component_id`` replace input columns.
+table gives an empty result; column names of ``docs`` don't matter.
 """
 
 from __future__ import annotations
@@ -28,13 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import cut, drop
+from gaugeline.llm.common import Hidden, cut, drop
 
 #: Generator polynomial of the binary Golay code.
 GOLAY = 0b101011100011
 #: (exact segment, its bits, fuzzy segment, its bits), as shifts and widths in the fingerprint.
 LAYOUT = [((0, 21), (21, 21)), ((21, 21), (42, 22)), ((42, 22), (0, 21))]
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+#: A fingerprint of more rows than HOT is dealt to SALTS tasks when rows get their component.
+HOT, SALTS = 20_000, 32
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
@@ -173,19 +175,29 @@ def name_components(marked: DataFrame, *, max_bits: int, id_col: str) -> DataFra
 
 def cluster(docs: DataFrame, *, width: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc id, fingerprint as signed long ``_fp``, component_id), one row for each row of ``docs``."""
-    marked, _ = cut(fingerprints(docs.select(id_col, text_col), width=width, text_col=text_col).select(id_col, "_fp"), "simhash")
-    named, _ = cut(name_components(marked, max_bits=max_bits, id_col=id_col).select("_fp", "component_id"), "simhash-ids")
-    return marked.join(named, "_fp")
+    narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
+    marked, _ = cut(fingerprints(narrow, width=width, text_col="_t").select("_id", "_fp"), "simhash")
+    named, _ = cut(name_components(marked, max_bits=max_bits, id_col="_id").select("_fp", "component_id"), "simhash-ids")
+    salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")  # copies of one text are one key: dealt to several tasks
+    lone = marked.groupBy("_fp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("_fp")
+    lone, _ = cut(lone, "simhash-hot")
+    lone = F.broadcast(lone)  # at most rows / HOT fingerprints
+    hot = named.join(lone, "_fp", "left_semi").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    both = named.join(lone, "_fp", "left_anti").withColumn("s", F.lit(-1)).union(hot.select("_fp", "component_id", "s"))
+    dealt = marked.join(lone.withColumn("hot", F.lit(True)), "_fp", "left").withColumn("s", F.when(F.col("hot"), salt).otherwise(-1))
+    return dealt.join(both, ["_fp", "s"]).select(F.col("_id").alias(id_col), "_fp", "component_id")
 
 
 def dedup(docs: DataFrame, *, width: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component stays, of the smallest id (null last; of repeated ids, the first as written)."""
-    marked, _ = cut(fingerprints(docs, width=width, text_col=text_col).withColumn("_row", F.monotonically_increasing_id()), "simhash-docs")
+    own = Hidden(docs)
+    id_col = own[id_col]
+    marked, _ = cut(fingerprints(own.df, width=width, text_col=own[text_col]).withColumn("_row", F.monotonically_increasing_id()), "simhash-docs")
     narrow = marked.select(id_col, "_fp", "_row")
     named = name_components(narrow, max_bits=max_bits, id_col=id_col).select("_fp", "root")
     first = narrow.groupBy("_fp").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_row"))).alias("_first"))
     keep = first.join(named, "_fp").groupBy("root").agg(F.min("_first")["_row"].alias("_row"))
-    return marked.join(keep.select("_row"), "_row", "left_semi").drop("_fp", "_row")
+    return own.show(marked.join(keep.select("_row"), "_row", "left_semi"))
 
 
 def op5_simhash(spark, sf_dir):

@@ -12,7 +12,9 @@ are salted by row number and the list is repeated ``salts`` times. Nothing is br
 Defined cases: a null, empty or malformed URL has no host and stays ("none"); a null fetch time sees no
 entry; entries with a null key, action or time don't count; of entries of one key and time the largest
 action by code point counts; repeated captures are decided one by one; empty tables give empty results
-or no decision. Columns ``host, list_key, action, blocked`` replace input columns of those names.
+or no decision. Letter case of hosts and paths doesn't matter; a port and a user are no part of a
+key; a host with a trailing dot is another host, and a bracketed IPv6 host is read to its first colon. Columns ``host, list_key, action, blocked`` replace input columns of those names; all others
+are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeline.llm.common import Hidden, cut
+
 #: The list that the registered query applies (key, action, since).
 ENTRIES = [
     ("spam-farm.example.org", "block", "2024-01-03 00:00:00"),
@@ -43,7 +47,9 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, *, url_col: str = "url", time_col: str = "fetched_at", salts: int = 16) -> DataFrame:
-    rows = captures.drop("host", "list_key", "action", "blocked").withColumn("_row", F.monotonically_increasing_id())
+    own = Hidden(captures)
+    url_col, time_col = own[url_col], own[time_col]
+    rows, _ = cut(own.df.withColumn("_row", F.monotonically_increasing_id()), "urls")  # written, so that row numbers hold for both branches
     rows = rows.withColumn("_m", F.regexp_extract(F.lower(F.col(url_col)), r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)(?::[0-9]*)?(/[^/?#]*)?", 1))
     rows = rows.withColumn("host", F.when(F.col("_m") != "", F.col("_m")))
     first = F.regexp_extract(F.lower(F.col(url_col)), r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?[^/:?#]+(?::[0-9]*)?(/[^/?#]+)", 1)
@@ -54,12 +60,12 @@ def filter_urls(captures: DataFrame, entries: DataFrame, *, url_col: str = "url"
     listed = intervals(entries).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     active = asked.join(listed, (asked.list_key == listed.list_key) & (asked._salt == listed._salt) & (asked._at >= listed.since) & (listed.until.isNull() | (asked._at < listed.until)))
     best = active.groupBy("_row").agg(F.max(F.struct(F.length(asked.list_key).alias("n"), asked.list_key.alias("k"), "action")).alias("_b"))
-    out = rows.join(best, "_row", "left").withColumns({"list_key": F.col("_b.k"), "action": F.coalesce("_b.action", F.lit("none"))})
-    return out.withColumn("blocked", F.col("action") == "block").drop("_row", "_m", "_b")
+    action = F.coalesce("_b.action", F.lit("none"))
+    return own.show(rows.join(best, "_row", "left"), host=F.col("host"), list_key=F.col("_b.k"), action=action, blocked=action == "block")
 
 
 def op2_filter_urls(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("fetched_at", F.expr(FETCHED))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.expr(FETCHED).alias("fetched_at"))
     entries = spark.createDataFrame(ENTRIES, "key string, action string, since string").withColumn("since", F.to_timestamp("since"))
     return filter_urls(pages, entries).select("page_id", "url", "host", "list_key", "action", "blocked")
 
