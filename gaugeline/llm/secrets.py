@@ -4,7 +4,7 @@ Candidates are long runs of key characters with a digit, those of letters alone
 assignment, private-key blocks up to their END line and values after a password word in any letter case. Features of a candidate: its length and share of digits, letter-case and class transitions, distinct
 characters, coverage by dictionary words, path context, and neighbouring words. The forest is trained
 (MLlib, in the JVM) on labelled findings, exported as nested CASE expressions and applied to each
-candidate inside its row: the scan is one narrow pass with no shuffle, join or Python.
+candidate inside its row. A cheap search first rules out texts without any: the scan is one narrow pass with no shuffle, join or Python.
 
 Defined cases: null and empty texts have no candidates; repeated candidates are findings of their own,
 in order; very long texts are scanned whole; an empty table gives an empty result. ``scan_secrets`` adds
@@ -31,6 +31,8 @@ PEM = f"-----BEGIN {LABEL}[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END {LAB
 PASSWORD = r"(?<=[:=>\"' ])(?=[^\s\"']{6})(?<=(?i:password|passwd|pwd)[\"' ]{0,2}(?::=|=>|[:=])[\"' ]{0,2})[^\s\"']{6,}"
 ASSIGNED = r"(?<=[:=>\"'`\s])(?=[A-Za-z0-9+/_-]{16})(?<=(?i:secret|token|api[ _-]?key|auth|credential|access[ _-]?key|private[ _-]?key)[A-Za-z0-9_-]{0,12}[\"'`]?\s{0,2}(?::=|=>|[:=])\s{0,2}[\"'`]?|(?i:bearer)\s)[A-Za-z0-9+/_-]{16,}={0,2}"
 CANDIDATE = f"{PEM}|{PASSWORD}|{ASSIGNED}|{RUN}"
+#: Every candidate's text has one of these: a long run, a key's label or a password word. Most texts have none, and are searched no further.
+ANY = "[A-Za-z0-9+/_-]{16}|PRIVATE KEY|(?i:passw|pwd)"
 #: Words that make a candidate look like prose, a path or a placeholder.
 DICTIONARY = ["the", "and", "ing", "tion", "example", "test", "user", "name", "data", "file", "home", "page", "index", "image", "version", "release", "build", "docs", "your", "here", "key", "static", "assets", "content", "article", "sample", "dummy", "changeme", "placeholder", "xxxx", "abcd", "1234"]
 SECRET_WORDS = r"(?i)(token|secret|passw|pwd|api.?key|apikey|auth|credential|bearer|access.?key|private)"
@@ -49,7 +51,7 @@ def features(cand: Column, before: Column, after: Column) -> dict[str, Column]:
         "length": F.least(n, F.lit(200.0)),
         "digits": F.length(F.regexp_replace(cand, "[^0-9]", "")) / n,
         "transitions": (runs - 1) / n,
-        "distinct": F.size(F.array_distinct(F.split(F.substring(cand, 1, 64), ""))) / F.least(n, F.lit(64.0)),
+        "distinct": F.size(F.array_distinct(F.split(cand, ""))) / F.least(n, F.lit(64.0)),
         "coverage": (n - F.length(rest)) / n,
         "path": flag(F.substring(cand, 1, 1).isin("/") | before.rlike(r"[/.?&]$") | (F.length(F.regexp_replace(cand, "[^/]", "")) >= 2) | before.rlike(r"://\S*$")),
         "secret_near": flag(before.rlike(SECRET_WORDS)),
@@ -127,7 +129,7 @@ class SecretForest:
 def _scanned(docs: DataFrame, forest: SecretForest, text_col: str, threshold: float) -> DataFrame:
     """``_found`` and ``_parts`` (the candidates, and what stands around them) and ``findings``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("_found", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
+    rows = docs.withColumn("_found", F.when(text.rlike(ANY), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("_parts", F.when(F.size("_found") > 0, F.split(text, CANDIDATE)).otherwise(F.array().cast("array<string>")))
 
     def one(c, i):
