@@ -32,7 +32,7 @@ PASSWORD = r"(?<=[:=>\"' ])(?=[^\s\"']{6})(?<=(?i:password|passwd|pwd)[\"' ]{0,2
 ASSIGNED = r"(?<=[:=>\"'`\s])(?=[A-Za-z0-9+/_-]{16})(?<=(?i:secret|token|api[ _-]?key|auth|credential|access[ _-]?key|private[ _-]?key)[A-Za-z0-9_-]{0,12}[\"'`]?\s{0,2}(?::=|=>|[:=])\s{0,2}[\"'`]?|(?i:bearer)\s)[A-Za-z0-9+/_-]{16,}={0,2}"
 CANDIDATE = f"{PEM}|{PASSWORD}|{ASSIGNED}|{RUN}"
 #: Every candidate's text has one of these: a long run, a key's label or a password word. Most texts have none, and are searched no further.
-ANY = "[A-Za-z0-9+/_-]{16}|PRIVATE KEY|(?i:passw|pwd)"
+ANY = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16}|PRIVATE KEY|[Pp](?i:assw|wd)"
 #: Words that make a candidate look like prose, a path or a placeholder.
 DICTIONARY = ["the", "and", "ing", "tion", "example", "test", "user", "name", "data", "file", "home", "page", "index", "image", "version", "release", "build", "docs", "your", "here", "key", "static", "assets", "content", "article", "sample", "dummy", "changeme", "placeholder", "xxxx", "abcd", "1234"]
 SECRET_WORDS = r"(?i)(token|secret|passw|pwd|api.?key|apikey|auth|credential|bearer|access.?key|private)"
@@ -117,7 +117,9 @@ class SecretForest:
     def __init__(self, findings: DataFrame, *, trees: int = 20, depth: int = 6, seed: int = 11):
         named = features(F.col("candidate"), F.col("before"), F.col("after"))
         data = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(findings.select("label", *[named[k].cast("double").alias(k) for k in FEATURES]))
+        data = data.select("label", "x").coalesce(2).persist()  # the labelled findings are few, and each level of the trees reads them
         model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(data)
+        data.unpersist()
         self.roots = [t._call_java("rootNode") for t in model.trees]
 
     def score(self, made: Column) -> Column:
