@@ -464,3 +464,13 @@ def test_simhash_large_buckets(spark, bits):
                 if bin(a ^ b).count("1") <= bits:
                     want[a] = want[b] = min(want[a], want[b])
     assert {f: got.get(f, f) for f in fps} == want
+
+
+def test_passages_cover_a_share_of_every_text():
+    n, h = np.array([0, 5, 40, 41, 1000, 7]), np.array([3, 9, -4, 1, 12345, 0])
+    pick, size, first, last = lm.passages(n, h, 4)
+    text = np.repeat(np.arange(len(n)), n)[pick]
+    assert set(text.tolist()) == {1, 2, 3, 4, 5} and size.sum() == len(pick) and len(set(pick.tolist())) == len(pick)
+    assert (text == 4).sum() in (240, 250, 260, 280) and len(size) == len(first) == len(last) == 5 + (np.count_nonzero(text == 4) + 39) // 40
+    every = lm.passages(n, h, 1)
+    assert (every[0] == np.arange(n.sum())).all() and every[2].sum() == every[3].sum() == len(n)
