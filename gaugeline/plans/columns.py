@@ -79,7 +79,7 @@ def roster_diff(t):
     return C.roster_changes(one("F"), one("O"), "k")
 
 
-@query("""select o_orderkey, array_to_string(list_filter([case when o_orderstatus is distinct from 'F' then 'a' end, case when (o_custkey % 2)::varchar is distinct from '0' then 'b' end, 'c'], x -> x is not null), ',') as changed from orders""")
+@query("""select o_orderkey, concat_ws(',', case when o_orderstatus is distinct from 'F' then 'a' end, case when (o_custkey % 2)::varchar is distinct from '0' then 'b' end, 'c') as changed from orders""")
 def fingerprint_diff(t):
     mine = F.create_map(F.lit("a"), F.col("o_orderstatus"), F.lit("b"), (F.col("o_custkey") % 2).cast("string"))
     other = F.create_map(F.lit("a"), F.lit("F"), F.lit("b"), F.lit("0"), F.lit("c"), F.lit("x"))
