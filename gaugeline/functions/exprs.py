@@ -157,5 +157,15 @@ def evenly(k: int, length: str | Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), step)
 
 
+def chunk_of(episode: str | Column, size: int) -> Column:
+    """Folder of an episode: chunk-000 holds the first ``size``."""
+    return F.concat(F.lit("chunk-"), F.format_string("%03d", F.floor(col(episode) / size).cast("long")))
+
+
+def cost_in_steps(steps: str | Column, forwards: str | Column) -> Column:
+    """Training steps and forward passes in one unit: a forward pass is a third of a step."""
+    return col(steps) + col(forwards) / 3
+
+
 def binomial_tail(k: int, n: int, p: float = 0.5) -> float:
     return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions.exprs import col, ratio, shuffle_key
-from gaugeline.operators.windows import midrank
+from gaugeline.operators.windows import midrank, midranked
 
 
 def auc(df: DataFrame, score: str, label: str, groups: list[str] | None = None) -> DataFrame:
     """Mann-Whitney AUC with ties at half, for each group: positives, negatives, auc (NULL if a class is missing)."""
     groups = groups or []
-    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(*groups, F.col(label).cast("int").alias("_y"), midrank(score, *groups).alias("_r"))
+    known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(*groups, F.col(label).cast("int").alias("_y"), F.col(score).alias("_x"))
+    rows = known.withColumn("_r", midrank("_x", *groups)) if groups else midranked(known, "_x", "_r")
     g = rows.groupBy(*groups).agg(F.sum("_y").cast("long").alias("pos"), F.sum(1 - F.col("_y")).cast("long").alias("neg"), F.sum(F.when(F.col("_y") == 1, F.col("_r"))).alias("_s"))
     return g.select(*groups, "pos", "neg", F.round(F.try_divide(F.col("_s") - F.col("pos") * (F.col("pos") + 1) / 2, (F.col("pos") * F.col("neg")).cast("double")), 6).alias("auc"))
 
@@ -25,7 +26,8 @@ def within_auc(df: DataFrame, score: str, label: str, group: str, least: int = 3
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("_x"), F.col(y).alias("_y"), midrank(x).alias("_a"), midrank(y).alias("_b"))
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("_x"), F.col(y).alias("_y"))
+    rows = midranked(midranked(rows, "_x", "_a"), "_y", "_b")
     return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("_x", "_y"), 6).alias("pearson"), F.round(F.corr("_a", "_b"), 6).alias("spearman"))
 
 

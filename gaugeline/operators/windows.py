@@ -26,9 +26,28 @@ def midrank(v: str, *groups: str) -> Column:
     return F.rank().over(Window.partitionBy(*groups).orderBy(v)) + (F.count(F.lit(1)).over(Window.partitionBy(*groups, v)) - 1) / F.lit(2.0)
 
 
+def in_ranges(df: DataFrame, value: str, parts: int = 256) -> DataFrame:
+    """``_range`` of a number (null: the first) and the rows ``_before`` it and in all (``_all``): an order of the whole table without one task that sorts it."""
+    edges = df.agg(F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)])).alias("_e"))  # one row
+    place = F.coalesce(F.when(F.col(value).isNotNull(), F.size(F.filter("_e", lambda e: e < F.col(value)))), F.lit(-1))
+    rows = df.crossJoin(F.broadcast(edges)).withColumn("_range", place).drop("_e")
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # at most parts + 1 rows
+    up = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_range", F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    return rows.join(F.broadcast(sizes), "_range")
+
+
 def tiles(df: DataFrame, k: int, order: list[str], out: str = "tile") -> DataFrame:
-    """Tiles 0..k-1 whose sizes differ by one at most, the larger first."""
-    return df.withColumn(out, F.ntile(k).over(Window.orderBy(*order)) - 1)
+    """Tiles 0..k-1 whose sizes differ by one at most, the larger first. The first order column is a number."""
+    at = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    rows = in_ranges(df, order[0]).withColumn("_at", at)
+    tile = F.expr(f"case when _at < (_all % {k}) * (_all div {k} + 1) then _at div (_all div {k} + 1) else _all % {k} + (_at - (_all % {k}) * (_all div {k} + 1)) div greatest(_all div {k}, 1) end")
+    return rows.withColumn(out, tile.cast("int")).drop("_range", "_before", "_all", "_at")
+
+
+def midranked(df: DataFrame, value: str, out: str) -> DataFrame:
+    """``midrank`` of the whole table: ranks within ranges of the value, plus the rows before."""
+    return in_ranges(df, value).withColumn(out, F.col("_before") + midrank(value, "_range")).drop("_range", "_before", "_all")
 
 
 def even_picks(df: DataFrame, n: int, group: list[str], order: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +54,75 @@ def read_positional(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("category", F.get("cats", F.col("cat").cast("int"))["name"]).drop("cats") if "cat" in names else out.drop("cats")
 
 
+def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
+    """One row a line; blank lines are skipped, lines that don't parse raise an error."""
+    reader = spark.read.option("mode", "FAILFAST")
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def run_parts(pattern: str, names: list[str]) -> list[Column]:
+    """Captures of the file path as columns, such as N and seed of ``N(\\d+)_seed(\\d+)``; NULL where it doesn't match."""
+    return [path_part(pattern, i).alias(n) for i, n in enumerate(names, 1)]
+
+
+def read_runs(spark: SparkSession, root: str, file: str, pattern: str, names: list[str], schema: str) -> DataFrame:
+    """JSON results ``file`` anywhere under ``root`` with the parts of their constructed run names; files of other names are left out."""
+    docs = spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", file).json(root)
+    parts = run_parts(pattern, names)
+    return docs.select(*parts, *[F.col(c) for c in docs.columns]).where(F.col(names[0]).isNotNull())
+
+
+def discover_results(spark: SparkSession, root: str) -> DataFrame:
+    """(model, kind, task, rate, n) of every result file under ``root``, whose first folder names the model.
+
+    ``eval_log.json`` (kind dp): the task and rate of its ``success_rate/<task>`` key, n its ``test/sim_max_reward_`` keys.
+    ``stats.json`` (kind pi0): its ``success_rate`` and ``num_episodes``; the task is the folder two levels up. Ordered by nothing.
+    """
+    base = root.rstrip("/").rpartition("/")[2]
+    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "{eval_log,stats}.json").text(root)
+    doc = files.select(F.from_json("value", "map<string,string>").alias("d"), F.col("_metadata.file_path").alias("path"), path_part(f"/{base}/([^/]+)/").alias("model"))
+    logged = F.filter(F.map_keys("d"), lambda k: k.startswith("success_rate/"))
+    dp, key = F.col("path").endswith("/eval_log.json"), F.get(logged, F.lit(0))
+    return doc.select(
+        "model",
+        F.when(dp, "dp").otherwise("pi0").alias("kind"),
+        F.when(dp, F.coalesce(F.substring_index(key, "/", -1), F.lit("?"))).otherwise(F.get(F.reverse(F.split("path", "/")), F.lit(2))).alias("task"),
+        F.try_element_at("d", F.when(dp, F.coalesce(key, F.lit("?"))).otherwise("success_rate")).try_cast("double").alias("rate"),
+        F.when(dp, prefixed_count("d", "test/sim_max_reward_")).otherwise(F.try_element_at("d", F.lit("num_episodes")).try_cast("int")).alias("n"),
+    )
+
+
+def write_json_atomic(spark: SparkSession, value: object, path: str) -> None:
+    """One small JSON document: written beside its place through Hadoop's file system, then renamed, so readers never see half of it."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    kind = jvm.org.apache.hadoop.fs.FileContext
+    rename, create = jvm.org.apache.hadoop.fs.Options.Rename, jvm.org.apache.hadoop.fs
+    target, beside = create.Path(path), create.Path(path + ".tmp")
+    out = target.getFileSystem(conf).create(beside, True)
+    try:
+        out.write(bytearray(json.dumps(value, sort_keys=True).encode("utf-8")))
+    finally:
+        out.close()
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    kind.getFileContext(target.toUri(), conf).rename(target.getFileSystem(conf).makeQualified(beside), target.getFileSystem(conf).makeQualified(target), over)
+
+
+def write_first_episodes(frames: DataFrame, n: int, path: str) -> None:
+    """The episodes below n, by the index's own filter, so other row groups aren't read."""
+    frames.where(F.col("episode_index") < n).write.mode("overwrite").parquet(path)
+
+
+def markdown(df: DataFrame, most: int = 1000, digits: int = 4) -> str:
+    """A report table of a small result; over ``most`` rows is an error, not a cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows: aggregate before reporting")
+    cell = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    lines = [df.columns, ["---"] * len(df.columns), *[[cell(v) for v in r] for r in rows]]
+    return "\n".join("| " + " | ".join(x) + " |" for x in lines)
+
+
 def prefixed_count(map_col: str, prefix: str) -> Column:
     return F.size(F.map_filter(map_col, lambda k, v: k.startswith(prefix)))
 

@@ -3,7 +3,7 @@
 import pandas as pd
 import pytest
 
-from gaugeline.plans import catalogue, columns, inference, studies  # noqa: F401  (registers its queries)
+from gaugeline.plans import catalogue, columns, designs, inference, studies  # noqa: F401  (registers its queries)
 from tests.conftest import SMALL
 
 

@@ -45,3 +45,34 @@ def test_ledger_resumes(spark, tmp_path):
 def test_stable_schema(spark):
     out = io.stable(spark.createDataFrame([("p1", "ok")], "pull_id string, status string"), io.PULLS)
     assert out.columns == io.PULLS.names and out.first()["delta"] is None
+
+
+def test_jsonl_and_runs(spark, tmp_path):
+    (tmp_path / "e.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n')
+    assert sorted(r["a"] for r in io.read_jsonl(spark, str(tmp_path / "e.jsonl"), "a int").collect()) == [1, 2]
+    for name, j in (("N10_seed1", 0.5), ("N40_seed2", 0.75), ("other", 1.0)):
+        (tmp_path / "out" / name).mkdir(parents=True)
+        (tmp_path / "out" / name / "fixed.json").write_text(json.dumps({"J": j}))
+    got = io.read_runs(spark, str(tmp_path / "out"), "fixed.json", r"N(\d+)_seed(\d+)", ["N", "seed"], "J double")
+    assert sorted(map(tuple, got.collect())) == [("10", "1", 0.5), ("40", "2", 0.75)]
+
+
+def test_results_of_two_formats(spark, tmp_path):
+    root = tmp_path / "evals"
+    for where, doc in (("a/x/eval_log.json", {"success_rate/lift": 0.5, "test/sim_max_reward_1": 1, "test/sim_max_reward_2": 0}), ("b/stack/t1/stats.json", {"success_rate": 0.25, "num_episodes": 8}), ("c/eval_log.json", {"z": 1})):
+        (root / where).parent.mkdir(parents=True)
+        (root / where).write_text(json.dumps(doc))
+    got = sorted(map(tuple, io.discover_results(spark, str(root)).collect()))
+    assert got == [("a", "dp", "lift", 0.5, 2), ("b", "pi0", "stack", 0.25, 8), ("c", "dp", "?", None, 0)]
+
+
+def test_small_sinks(spark, tmp_path):
+    path = str(tmp_path / "x.json")
+    for value in ({"a": 1}, {"a": [1, 2]}):
+        io.write_json_atomic(spark, value, path)
+        assert json.loads(open(path).read()) == value
+    assert not (tmp_path / "x.json.tmp").exists()
+    frames = spark.createDataFrame([(i, i * 10) for i in range(5)], "episode_index int, v int")
+    io.write_first_episodes(frames, 3, str(tmp_path / "f"))
+    assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "f")).select("episode_index").collect()) == [0, 1, 2]
+    assert io.markdown(spark.createDataFrame([(1, 0.5, "a|b"), (2, None, None)], "k int, r double, s string")) == "| k | r | s |\n| --- | --- | --- |\n| 1 | 0.5000 | a\\|b |\n| 2 |  |  |"
