@@ -300,9 +300,9 @@ def spherical_kmeans(df: DataFrame, key: str, vec: str, k: int, seed: int = 1) -
     return KMeans(k=k, seed=seed, featuresCol="_x", predictionCol="cluster", distanceMeasure="cosine").fit(rows).transform(rows).select(key, "cluster")
 
 
-def mixture(df: DataFrame, key: str, vec: str, k: int, dims: int, seed: int = 1) -> DataFrame:
-    """Gaussian mixture over the first ``dims`` components: key, cluster."""
-    rows = df.select(key, array_to_vector(F.transform(F.slice(vec, 1, dims), lambda x: x.cast("double"))).alias("_x"))
+def mixture(df: DataFrame, key: str, vec: str, k: int, dims: int | None = None, seed: int = 1) -> DataFrame:
+    """Gaussian mixture over whole vectors, or over their first ``dims`` components where asked: key, cluster."""
+    rows = df.select(key, array_to_vector(F.transform(F.slice(vec, 1, dims) if dims else F.col(vec), lambda x: x.cast("double"))).alias("_x"))
     return GaussianMixture(k=k, seed=seed, featuresCol="_x", predictionCol="cluster").fit(rows).transform(rows).select(key, "cluster")
 
 

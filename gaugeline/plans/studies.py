@@ -168,7 +168,7 @@ def spherical_kmeans(t):
 
 @query()
 def mixture(t):
-    return S.mixture(t("embeddings"), "vec_id", "embedding", 4, 4)
+    return S.mixture(t("embeddings"), "vec_id", "embedding", 4)
 
 
 @query()

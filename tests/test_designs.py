@@ -91,3 +91,16 @@ def test_reference_blocks(spark):
 
 def test_costs_add_up(spark):
     assert spark.range(1).select(E.cost_in_steps(F.lit(10), F.lit(6)).alias("c")).first()["c"] == 12
+
+
+def test_blocks_and_rounds_equal_one_task(spark):
+    from gaugeline.operators import vectors
+
+    x = np.random.default_rng(4).normal(size=(80, 6))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>").repartition(5)
+    pick = lambda most: [r["id"] for r in vectors.farthest_points(df, "id", "v", 12, most).orderBy("pick").collect()]
+    assert pick(100) == pick(10)
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9)], "id long, v array<double>")
+    assert [r["id"] for r in vectors.farthest_points(same, "id", "v", 3, 5).collect()] == [0]
+    score = lambda block: {r["id"]: r["score"] for r in vectors.top_k_score(df, df.where("id % 2 = 0"), "id", "v", 5, block).collect()}
+    assert score(7) == pytest.approx(score(1000), abs=2e-6)
