@@ -12,7 +12,8 @@ records in a file, which ``file_bytes`` bounds. Files are read by Spark (binaryF
 
 Defined cases: null html is an empty payload; null ids and urls give records without those fields and read back null;
 among equal payloads with repeated largest ids all of those are responses, and if all ids are null all are; an empty
-table gives no record; an archive whose chain breaks raises an error; extra columns aren't stored.
+table gives no record; an archive whose chain breaks raises an error; extra columns aren't stored. URLs are written as they
+are, but that a line break in one becomes %0D or %0A; spaces around one aren't read back.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from gaugeline.llm.common import cut, drop, new_path
 
 MAGIC = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEADS = {b"warc-type": "record_type", b"warc-record-id": "record_id", b"warc-refers-to": "refers", b"warc-target-uri": "url", b"warc-payload-digest": "digest", b"x-payload-length": "payload_length"}
 SCHEMA = "file string, offset long, successor long, size long, record_type string, record_id string, refers string, url string, digest string, payload_length string, sound boolean"
 
@@ -51,10 +53,10 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", body_col
     line = lambda key, value: F.when(value.isNotNull(), F.concat(F.lit(key + ": "), value, F.lit("\r\n"))).otherwise("")
     revisit = F.col("_refers").isNotNull()
     block = F.when(revisit, F.lit("")).otherwise(F.decode("_body", "UTF-8"))
-    url = F.url_encode("_url")
+    url = F.replace(F.replace("_url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     head = F.concat(
         F.lit(MAGIC.decode()), line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))), line("WARC-Record-ID", name(F.col("_id"))),
-        line("WARC-Date", F.lit(date)), line("WARC-Target-URI", url), line("WARC-Refers-To", name(F.col("_refers"))),
+        line("WARC-Date", F.lit(date)), line("WARC-Target-URI", url), line("WARC-Refers-To", name(F.col("_refers"))), line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "_digest")), line("X-Payload-Length", F.col("_size").cast("string")),
         line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("_size").cast("string"))), F.lit("\r\n"),
     )
@@ -131,7 +133,7 @@ def read_warc(spark, path: str) -> DataFrame:
     whole = lambda c: F.when(number(c) != "", number(c).cast("long"))
     good = F.when(F.col("sound"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("digest mismatch in "), "file")))
     return kept.where("record_type <> 'end'").select(
-        whole(F.col("record_id")).alias("page_id"), F.try_url_decode("url").alias("url"), F.col("payload_length").cast("long").alias("payload_bytes"),
+        whole(F.col("record_id")).alias("page_id"), "url", F.col("payload_length").cast("long").alias("payload_bytes"),
         F.regexp_replace(good, "^sha1:", "").alias("payload_digest"), "record_type", whole(F.col("refers")).alias("refers_to"), "file", "offset",
     )
 

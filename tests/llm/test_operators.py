@@ -474,3 +474,16 @@ def test_passages_cover_a_share_of_every_text():
     assert (text == 4).sum() in (240, 250, 260, 280) and len(size) == len(first) == len(last) == 5 + (np.count_nonzero(text == 4) + 39) // 40
     every = lm.passages(n, h, 1)
     assert (every[0] == np.arange(n.sum())).all() and every[2].sum() == every[3].sum() == len(n)
+
+
+def test_warc_headers_for_other_readers(spark, tmp_path):
+    import gzip
+
+    big = "y" * 1200
+    rows = [(1, "https://a.org/x?y=1&z=%20é", big), (2, "http://b/\r\nWARC-Type: x", big)]
+    path = tmp_path / "w"
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), "file://" + str(path))
+    plain = b"".join(gzip.decompress(f.read_bytes()) for f in path.glob("part-*"))
+    assert "WARC-Target-URI: https://a.org/x?y=1&z=%20é\r\n".encode() in plain and plain.count(b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n") == 1
+    got = {r["page_id"]: (r["url"], r["record_type"]) for r in warc.read_warc(spark, "file://" + str(path)).collect()}
+    assert got == {1: (rows[0][1], "revisit"), 2: ("http://b/%0D%0AWARC-Type: x", "response")}
