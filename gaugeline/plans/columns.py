@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gaugeline.functions import exprs as E
 from gaugeline.operators import columns as C
 from gaugeline.plans.catalogue import query
 
@@ -37,7 +38,7 @@ def failure_depth(t):
 
 @query("select o_orderkey, round(least(greatest((o_totalprice - 20000.0) / 180000.0, 0), 1), 5) as progress from orders")
 def progress_score(t):
-    return t("orders").select("o_orderkey", F.round(C.progress(F.col("o_totalprice").cast("double"), F.lit(20000.0), F.lit(200000.0)), 5).alias("progress"))
+    return t("orders").select("o_orderkey", E.rounded(C.progress(F.col("o_totalprice").cast("double"), F.lit(20000.0), F.lit(200000.0)), 5).alias("progress"))
 
 
 @query("""with m as (select n_nationkey, (n_regionkey % 3)::int as tier from nation where n_nationkey < 20)
