@@ -77,7 +77,7 @@ def lookup_default(t):
 
 @query("select 'chunk-' || lpad((o_orderkey // 1000)::varchar, 3, '0') as chunk, count(*) as n from orders group by 1")
 def chunk_sizes(t):
-    return t("orders").groupBy(E.chunk_of("o_orderkey", 1000).alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
+    return t("orders").groupBy(E.chunk_label("o_orderkey", 1000).alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- halves and names
