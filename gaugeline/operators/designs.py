@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions.exprs import cosine, shuffle_key
+from gaugeline.operators import vectors
 from gaugeline.operators.windows import even_picks, tiles
 
 
@@ -256,13 +258,31 @@ def apply_spec(df: DataFrame, spec: DataFrame, columns: list[str]) -> DataFrame:
 
 
 # ---- reference sets
-def reference_distance(df: DataFrame, refs: DataFrame, key: str, vec: str, block: int = 1000) -> DataFrame:
-    """Euclidean distance of each row to the nearest of a stated reference set, which is met in blocks; null without references."""
-    dealt = refs.select(F.col(vec).alias("_r"), F.pmod(F.xxhash64(vec), F.lit(max(1, -(-refs.count() // block)))).alias("_b"))
-    held = dealt.groupBy("_b").agg(F.collect_list("_r").alias("_rs")).drop("_b")
-    apart = lambda r: F.aggregate(F.zip_with(vec, r, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
-    near = df.select(key, vec).join(held, how="left").select(key, F.array_min(F.transform("_rs", apart)).alias("_d"))
-    return near.groupBy(key).agg(F.sqrt(F.min("_d")).alias("distance"))
+def reference_distance(df: DataFrame, refs: DataFrame, key: str, vec: str, block: int = 50_000) -> DataFrame:
+    """Euclidean distance of each row to the nearest of a stated reference set, which is met in blocks; null without references, and
+    for vectors that are null or hold a null (those that aren't finite are nobody's nearest). Products of blocks find the references that may be nearest; their distances are then
+    taken from the differences."""
+
+    def work(x: np.ndarray, y: np.ndarray) -> list:
+        y = np.unique(y[np.isfinite(y).all(1)], axis=0)
+        if not len(y) or x.shape[1] != y.shape[1]:
+            return [None] * len(x)
+        out, long, most = np.full(len(x), np.inf), (y * y).sum(1), (y * y).sum(1).max()
+        for run in vectors.runs(x, y):
+            part, own = x[run], (x[run] * x[run]).sum(1)
+            d = part @ y.T
+            d *= -2
+            d += long
+            d += own[:, None]
+            # Rounding moves a product by less than this share of the squared lengths, so the nearest is among these.
+            i, j = np.nonzero(d <= d.min(1, keepdims=True) + 1e-12 * x.shape[1] * (own[:, None] + most))
+            for lo in range(0, len(i), 1 << 14):
+                at = slice(lo, lo + (1 << 14))
+                np.minimum.at(out[run], i[at], ((part[i[at]] - y[j[at]]) ** 2).sum(1))
+        return [None if bad else float(v) for v, bad in zip(out, np.isnan(x).any(1))]
+
+    near = vectors.met_in_blocks(df, refs, key, vec, work, "double", block)
+    return near.groupBy(key).agg(F.sqrt(F.min("out")).alias("distance"))
 
 
 def mode_menu(df: DataFrame, modes: DataFrame, key: str, vec: str, k: int, most: int = 1000) -> DataFrame:
