@@ -20,13 +20,16 @@ def epsilon_gate(pool: DataFrame, used: DataFrame, by: str, x: str, y: str, eps:
 
 
 def near_pairs(df: DataFrame, key: str, by: str, x: str, y: str, tol: float) -> DataFrame:
-    """Pairs a < b of one label closer than tol, found over a grid of tol cells."""
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    a = df.select(F.col(key).alias("a"), F.col(by).alias("_b"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.floor(F.col(x) / tol).alias("_i"), F.floor(F.col(y) / tol).alias("_j"))
-    b = df.select(F.col(key).alias("b"), F.col(by).alias("_b"), F.col(x).alias("_u"), F.col(y).alias("_v"), F.floor(F.col(x) / tol).alias("_p"), F.floor(F.col(y) / tol).alias("_q"), around.alias("_n"))
-    b = b.withColumn("_i", F.col("_p") + F.col("_n.i")).withColumn("_j", F.col("_q") + F.col("_n.j"))
+    """Pairs a < b of one label closer than tol, found over a grid of tol cells: a cell meets itself and four of its neighbours, so
+    each two cells meet once. Both sides are dealt by cell and none is broadcast, however small it is thought to be."""
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))]))
+    a = df.select(F.col(key).alias("_ka"), F.col(by).alias("_b"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.floor(F.col(x) / tol).alias("_i"), F.floor(F.col(y) / tol).alias("_j"))
+    b = df.select(F.col(key).alias("_kb"), F.col(by).alias("_b"), F.col(x).alias("_u"), F.col(y).alias("_v"), F.floor(F.col(x) / tol).alias("_p"), F.floor(F.col(y) / tol).alias("_q"), around.alias("_n"))
+    b = b.select("_kb", "_b", "_u", "_v", (F.col("_p") + F.col("_n.i")).alias("_i"), (F.col("_q") + F.col("_n.j")).alias("_j"), ((F.col("_n.i") == 0) & (F.col("_n.j") == 0)).alias("_own"))
     d = F.sqrt((F.col("_x") - F.col("_u")) ** 2 + (F.col("_y") - F.col("_v")) ** 2)
-    return a.join(b, ["_b", "_i", "_j"]).where((F.col("a") < F.col("b")) & (d < tol)).select("a", "b", F.round(d, 6).alias("distance"))
+    once = F.when(F.col("_own"), F.col("_ka") < F.col("_kb")).otherwise(F.col("_ka") != F.col("_kb"))
+    met = a.hint("merge").join(b.hint("merge"), ["_b", "_i", "_j"]).where(once & (d < tol))
+    return met.select(F.least("_ka", "_kb").alias("a"), F.greatest("_ka", "_kb").alias("b"), F.round(d, 6).alias("distance"))
 
 
 def exact_match(a: DataFrame, b: DataFrame, cell: list[str], key: str, seed: int = 0) -> DataFrame:
