@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,18 +41,143 @@ def replicates(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
 
 
+_TURNS = np.array([[7, 12, 17, 22], [5, 9, 14, 20], [4, 11, 16, 23], [6, 10, 15, 21]], np.uint32)
+_SINES = (np.abs(np.sin(np.arange(1, 65))) * 2.0**32).astype(np.uint64).astype(np.uint32)
+
+
+def md5_pairs(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """MD5 of one-block messages, (16, n) padded little-endian words: the digests' first and last eight bytes as big-endian numbers."""
+    start = np.array([0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476], np.uint32)
+    a, b, c, d = (np.full(blocks.shape[1], x, np.uint32) for x in start)
+    f, t = np.empty_like(a), np.empty_like(a)
+    for i in range(64):
+        turn, g = i // 16, (i, 5 * i + 1, 3 * i + 5, 7 * i)[i // 16] % 16
+        if turn == 0:
+            np.bitwise_xor(c, d, out=f), np.bitwise_and(f, b, out=f), np.bitwise_xor(f, d, out=f)
+        elif turn == 1:
+            np.bitwise_xor(b, c, out=f), np.bitwise_and(f, d, out=f), np.bitwise_xor(f, c, out=f)
+        elif turn == 2:
+            np.bitwise_xor(b, c, out=f), np.bitwise_xor(f, d, out=f)
+        else:
+            np.bitwise_not(d, out=f), np.bitwise_or(f, b, out=f), np.bitwise_xor(f, c, out=f)
+        f += a
+        f += blocks[g]
+        f += _SINES[i]
+        np.right_shift(f, np.uint32(32) - _TURNS[turn, i % 4], out=t)
+        np.left_shift(f, _TURNS[turn, i % 4], out=f)
+        f |= t
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    a, b, c, d = ((x + y).byteswap().astype(np.uint64) for x, y in zip((a, b, c, d), start))
+    return (a << np.uint64(32)) | b, (c << np.uint64(32)) | d
+
+
+class Shuffles:
+    """MD5 of ``key#rep`` for many keys and one replicate after another, as ``shuffle_key`` orders rows."""
+
+    def __init__(self, keys: list[str | None]):
+        self.keys, texts, self.parts = keys, [None if k is None else k.encode() for k in keys], []
+        size = np.array([99 if t is None else len(t) for t in texts])
+        self.slow = np.flatnonzero(size > 40)  # null or long keys one by one
+        for n in np.unique(size[size <= 40]):
+            at = np.flatnonzero(size == n)
+            whole = np.zeros((len(at), 64), np.uint8)
+            whole[:, :n] = np.frombuffer(b"".join(texts[i] for i in at), np.uint8).reshape(len(at), n)
+            self.parts.append((at, int(n), np.ascontiguousarray(whole.view("<u4").T)))
+
+    def of(self, rep: int) -> tuple[np.ndarray, np.ndarray]:
+        high, low = np.zeros(len(self.keys), np.uint64), np.zeros(len(self.keys), np.uint64)
+        for at, n, words in self.parts:
+            tail = f"#{rep}".encode()
+            rest = np.frombuffer(bytes(n) + tail + b"\x80" + bytes(55 - n - len(tail)) + (8 * (n + len(tail))).to_bytes(8, "little"), "<u4")
+            for lo in range(0, len(at), 1 << 13):
+                run = slice(lo, lo + (1 << 13))
+                high[at[run]], low[at[run]] = md5_pairs(words[:, run] | rest[:, None])
+        for i in self.slow:
+            digest = hashlib.md5((f"{self.keys[i]}#{rep}" if self.keys[i] is not None else str(rep)).encode()).digest()
+            high[i], low[i] = int.from_bytes(digest[:8], "big"), int.from_bytes(digest[8:], "big")
+        return high, low
+
+
+def _flagged(high: np.ndarray, low: np.ndarray, group: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Rows at the places ``cut`` when sorted by group (numbers from 0, in order) and digest. Group and leading bits make one number;
+    where two rows of it are equal, all is sorted by the whole digests."""
+    bits = np.uint64(max(1, int(group[-1]).bit_length()))
+    both = (group << (np.uint64(64) - bits)) | (high >> bits)
+    order = np.argsort(both)
+    sorted_ = both[order]
+    if (sorted_[1:] == sorted_[:-1]).any():
+        order = np.lexsort((low, high, group))
+    return order[cut]
+
+
 def permutation_test(df: DataFrame, key: str, group: str, flag: str, y: str, reps: int = 50) -> DataFrame:
-    """Difference of means between flagged and other rows, labels shuffled within groups: observed, exceed, p = (c + 1) / (B + 1)."""
-    base = df.select(key, group, F.col(flag).cast("int").alias("_f"), F.col(y).cast("double").alias("_y"))
+    """Difference of means between flagged and other rows, labels shuffled within groups: observed, exceed, p = (c + 1) / (B + 1).
+    In each replicate a group's rows of least md5(key#rep) are flagged, as many as it has. Rows are dealt once by their group; each task makes
+    all replicates of whole groups from them, so replicates take no disk. A task holds the rows of its largest group."""
+    base = df.select(F.col(key).cast("string").alias("_k"), F.col(group).alias("_g"), F.col(flag).cast("int").alias("_f"), F.col(y).cast("double").alias("_y"))
     diff = lambda f: F.avg(F.when(f == 1, F.col("_y"))) - F.avg(F.when(f == 0, F.col("_y")))
     seen = base.agg(F.round(diff(F.col("_f")), 9).alias("observed"))
-    w = Window.partitionBy("rep", group)
-    flagged = base.withColumn("_k", F.sum("_f").over(Window.partitionBy(group)))
-    shuffled = replicates(flagged, reps).withColumn("_g", (F.row_number().over(w.orderBy(shuffle_key(F.col("rep"), key), key)) <= F.col("_k")).cast("int"))
-    null = shuffled.groupBy("rep").agg(F.round(diff(F.col("_g")), 9).alias("null"))
+
+    def whole(batches: Iterator[pd.DataFrame], least: int = 1 << 16) -> Iterator[pd.DataFrame]:
+        """Runs of whole groups of about ``least`` rows or more; rows come in the order of their groups."""
+        held, rows = [], 0
+        for b in batches:
+            held.append(b)
+            rows += len(b)
+            if rows >= least:
+                p = pd.concat(held, ignore_index=True)
+                new = np.flatnonzero(_changes(p["_h"], p["_g"]))
+                if len(new) > 1:
+                    yield p.iloc[: new[-1]]
+                    p = p.iloc[new[-1] :]
+                held, rows = [p], 0 if len(new) == 1 else len(p)
+        if held:
+            yield pd.concat(held, ignore_index=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((reps + 1, 4))  # sum and count of the flagged, and of the others
+        for p in whole(batches):
+            if not len(p):
+                continue
+            number = np.cumsum(_changes(p["_h"], p["_g"])) - 1
+            f = p["_f"].to_numpy(float)
+            known = np.bincount(number, ~np.isnan(f)) > 0  # flags that are all null flag nobody
+            want = np.bincount(number, np.nan_to_num(f))
+            p, number = p[known[number]], number[known[number]]
+            if not len(p):
+                continue
+            want, number = want[known], np.unique(number, return_inverse=True)[1].astype(np.uint64)
+            value = p["_y"].to_numpy(float)
+            has, value = ~np.isnan(value), np.nan_to_num(value)
+            place = np.arange(len(p)) - np.searchsorted(number, number)
+            cut = np.flatnonzero(place < want[number.astype(int)])
+            keys, s, n = Shuffles(p["_k"].tolist()), value.sum(), has.sum()
+            for rep in range(1, reps + 1):
+                at = _flagged(*keys.of(rep), number, cut)
+                a, m = value[at].sum(), has[at].sum()
+                total[rep] += a, m, s - a, n - m
+        yield pd.DataFrame({"rep": range(1, reps + 1), "a": total[1:, 0], "m": total[1:, 1], "b": total[1:, 2], "n": total[1:, 3]})
+
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)  # by number: few bytes are much work
+    # The hash stands before the group, so that equal groups are neighbours whatever their type.
+    dealt = base.withColumn("_h", F.xxhash64("_g")).repartition(parts, "_h").sortWithinPartitions("_h", "_g").select("_h", F.col("_g").cast("string").alias("_g"), "_k", "_f", "_y")
+    sums = dealt.mapInPandas(run, "rep int, a double, m double, b double, n double").groupBy("rep").agg(*[F.sum(c).alias(c) for c in "ambn"])
+    null = sums.select("rep", F.round(F.try_divide("a", "m") - F.try_divide("b", "n"), 9).alias("null"))
     return null.crossJoin(seen).groupBy("observed").agg(F.sum((F.abs("null") >= F.abs("observed")).cast("int")).cast("long").alias("exceed")).select(F.round("observed", 6).alias("observed"), "exceed", F.round((F.col("exceed") + 1) / (reps + 1.0), 6).alias("p"))
 
 
+def _changes(*columns: pd.Series) -> np.ndarray:
+    """Whether a row differs from the one before it (nulls are equal); the first does."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        v, gone = c.to_numpy(), c.isna().to_numpy()
+        out[1:] |= (gone[1:] != gone[:-1]) | ((v[1:] != v[:-1]) & ~gone[1:])
+    return out
+
+
 def sign_flip(pairs: DataFrame, key: str, d: str, reps: int = 100) -> DataFrame:
     """Mean paired difference against random signs."""
     sign = F.when(F.substring(shuffle_key(F.col("rep"), key), 1, 1) < "8", 1).otherwise(-1)
